@@ -35,7 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class SegmentTreeBpe:
     """Encoder and decoder for a ``tokenizer.json`` of the byte-level BPE kind."""
 
-    CACHE = 400_000
+    CACHE = 600_000
     _made: dict = {}
 
     def __init__(self, path: str):
@@ -58,8 +58,8 @@ class SegmentTreeBpe:
         self.piece |= {i: t.encode() for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.merged_id = {r: m for r, m in self.rank.values()}
-        self.pretokens = common.TwoAgeCache(self.CACHE)
-        self.pieces = common.TwoAgeCache(self.CACHE)
+        self.pretokens = common.BoundedCache(self.CACHE)
+        self.pieces = common.BoundedCache(self.CACHE)
 
     @classmethod
     def shared(cls, path: str) -> SegmentTreeBpe:
@@ -160,16 +160,17 @@ class SegmentTreeBpe:
         else:
             head, rest = units.units(text)
             parts = [self._digest_of(self._plain(head))] if head else []
-            young, get, put = self.pieces.young, self.pieces.get, self.pieces.put
-            for u in rest:
-                known = young.get(u)
-                if known is None:
-                    known = get(u)
-                    if known is None:
-                        known = self._digest_of(self._plain(" " + u))
-                        put(u, known)
-                    young = self.pieces.young
-                parts.append(known)
+            pieces = self.pieces
+            known = list(map(pieces.get, rest))
+            if None in known:
+                for i, u in enumerate(rest):
+                    if known[i] is None:
+                        found = pieces.get(u)
+                        if found is None:
+                            found = self._digest_of(self._plain(" " + u))
+                            pieces.put(u, found)
+                        known[i] = found
+            parts += known
         decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()
         return sum(p[0] for p in parts), hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 

@@ -87,21 +87,18 @@ def tokenizer_path(name_or_path: str) -> str:
     return str(public_tokenizers.path(name_or_path))
 
 
-class TwoAgeCache:
-    """A bounded map: when the young half is full it becomes the old half and the former old half goes."""
+class BoundedCache(dict):
+    """A dict that empties itself when ``put`` finds it full, so that its memory has a bound.
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    Frequent keys come back at once; rare ones, most of any such cache, are
+    what the emptying gets rid of.
+    """
 
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.young[key] = value
-        return value
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value

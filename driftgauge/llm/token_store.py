@@ -44,7 +44,7 @@ BLOCK_BYTES = 4 << 20
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, end id appended, as little-endian uint32 bytes."""
 
-    CACHE = 700_000
+    CACHE = 1_300_000
     _made: dict = {}
 
     def __init__(self, path: str):
@@ -56,7 +56,7 @@ class IdEncoder:
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
-        self.cache = common.TwoAgeCache(self.CACHE)
+        self.cache = common.BoundedCache(self.CACHE)
 
     @classmethod
     def shared(cls, path: str) -> IdEncoder:
@@ -73,21 +73,17 @@ class IdEncoder:
         if not units.separable(text, self.specials):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         head, rest = units.units(text)
-        young = self.cache.young
-        out = [young.get(u) for u in rest]
+        cache = self.cache
+        out = list(map(cache.get, rest))
         if None in out:
-            get, missing = self.cache.get, {}
-            for i, (u, known) in enumerate(zip(rest, out, strict=True)):
-                if known is None:
-                    known = out[i] = get(u)
-                    if known is None:
-                        missing.setdefault(u, []).append(i)
-            if missing:
-                for (u, places), enc in zip(missing.items(), self.tokenizer.encode_batch_fast([" " + u for u in missing], add_special_tokens=False), strict=True):
-                    packed = self._pack(enc.ids)
-                    self.cache.put(u, packed)
-                    for i in places:
-                        out[i] = packed
+            places = [i for i, known in enumerate(out) if known is None]
+            missing = list({rest[i] for i in places})
+            encoded = self.tokenizer.encode_batch_fast([" " + u for u in missing], add_special_tokens=False)
+            found = {u: self._pack(e.ids) for u, e in zip(missing, encoded, strict=True)}
+            for u, packed in found.items():
+                cache.put(u, packed)
+            for i in places:
+                out[i] = found[rest[i]]
         first = self._pack(self.tokenizer.encode(head, add_special_tokens=False).ids) if head else b""
         return first + b"".join(out)
 

@@ -42,7 +42,7 @@ def zipf_vocabulary(model: str = "piece_bpe_32k.model") -> list[tuple[str, float
 
 
 class CountOnlyViterbi:
-    CACHE = 400_000
+    CACHE = 600_000
     _made: dict = {}
 
     def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True):
@@ -56,7 +56,7 @@ class CountOnlyViterbi:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in pieces for b in range(256))
-        self.cache = common.TwoAgeCache(self.CACHE)
+        self.cache = common.BoundedCache(self.CACHE)
 
     @classmethod
     def shared(cls, model: str) -> CountOnlyViterbi:
@@ -93,15 +93,11 @@ class CountOnlyViterbi:
 
     def text(self, text: str | None) -> int:
         cache, total = self.cache, 0
-        young = cache.young
         for w in WORD.findall(text or ""):
-            n = young.get(w)
+            n = cache.get(w)
             if n is None:
-                n = cache.get(w)
-                if n is None:
-                    n = self.word("▁" + w)
-                    cache.put(w, n)
-                young = cache.young
+                n = self.word("▁" + w)
+                cache.put(w, n)
             total += n
         return total
 
