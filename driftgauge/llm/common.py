@@ -73,9 +73,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def clean_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns never clash with an operator's own."""
-    return df.select(*[F.col(n) for n in names])
+def hash_below(share: float) -> int:
+    """The 64-bit value that a signed 64-bit hash does not exceed with the given chance."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
 
 
 def tokenizer_path(name_or_path: str) -> str:

@@ -112,7 +112,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1
 
     # of the smallest hashes only, as every task would send sample_rows texts to the driver otherwise
     place, share = F.xxhash64("doc_id"), min(1.0, 3 * sample_rows / max(docs.count(), 1))
-    few = docs.where((place <= int(-(1 << 63) + share * ((1 << 64) - 1))) & F.octet_length("text").between(1, sample_bytes))
+    few = docs.where((place <= common.hash_below(share)) & F.octet_length("text").between(1, sample_bytes))
     rows = few.orderBy(place, "doc_id").limit(sample_rows).select("text").collect()
     encoder = IdEncoder.shared(tokenizer)
     samples = [_serialize(encoder(r.text) + struct.pack("<I", end_id), encoder.width) for r in rows]
