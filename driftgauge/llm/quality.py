@@ -209,7 +209,9 @@ def fit(statistics: DataFrame, labels: DataFrame, row_id: str = "doc_id", sample
     marked = labels.where(F.col("quality").isNotNull()).select(F.col(row_id).alias("__id"), "quality")
     joined = statistics.where(~base_failed()).join(marked, F.col(row_id) == F.col("__id"))
     ratios = joined.select(*[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()], (F.col("quality") == 0).alias("bad"), F.xxhash64(row_id).alias("h"), F.col(row_id).alias("id"))
-    rows = ratios.orderBy("h", "id").limit(sample_rows).collect()
+    # of the smallest hashes only, as every task would send sample_rows rows to the driver otherwise
+    few = ratios.where(F.col("h") <= common.hash_below(min(1.0, 3 * sample_rows / max(marked.count(), 1))))
+    rows = few.orderBy("h", "id").limit(sample_rows).collect()
     return learn_rules([({f: r[f] for f in FEATURES}, r.bad) for r in rows], **options)
 
 
