@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftgauge.llm.bpe import op5_bpe_round_trip
+from driftgauge.llm.ngram_join import op4_ngram_jaccard_join
 from driftgauge.llm.quality import op3_quality_rules
 from driftgauge.llm.secrets import op10_secret_scan
 from driftgauge.llm.shards import op2_histogram_shards
@@ -15,7 +16,7 @@ from driftgauge.llm.viterbi_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_histogram_shards, op3_quality_rules, op5_bpe_round_trip, op9_token_counts, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_store, op2_histogram_shards, op3_quality_rules, op4_ngram_jaccard_join, op5_bpe_round_trip, op9_token_counts, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
