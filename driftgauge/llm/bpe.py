@@ -35,7 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class SegmentTreeBpe:
     """Encoder and decoder for a ``tokenizer.json`` of the byte-level BPE kind."""
 
-    CACHE = 600_000
+    CACHE, PIECES = 800_000, 1_200_000
     _made: dict = {}
 
     def __init__(self, path: str):
@@ -59,7 +59,7 @@ class SegmentTreeBpe:
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.merged_id = {r: m for r, m in self.rank.values()}
         self.pretokens = common.BoundedCache(self.CACHE)
-        self.pieces = common.BoundedCache(self.CACHE)
+        self.pieces = common.BoundedCache(self.PIECES)
 
     @classmethod
     def shared(cls, path: str) -> SegmentTreeBpe:
