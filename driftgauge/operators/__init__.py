@@ -1 +1 @@
-
+"""Samplers, estimators, allocation and the online aggregator."""

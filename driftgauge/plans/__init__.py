@@ -1 +1 @@
-
+"""Query suites and the SQL front end."""
