@@ -1 +1 @@
-
+"""Readers, writers, materialized views and data generators."""
