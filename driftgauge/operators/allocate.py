@@ -154,24 +154,25 @@ def cost_optimised(stats: PrefixStats, draws: int, conf: AqpConf, draw_cost: flo
 
 
 def greedy_bounds(stats: PrefixStats, conf: AqpConf) -> list[int]:
-    """Split the stratum whose halves differ most from it while that gains more than ``subtree_stop_k`` of the whole.
+    """Split again and again where one cut gains most, while that is over ``subtree_stop_k`` of the whole.
 
     A part is split only where the pilot has ``subtree_sample_size`` draws in it.
     """
     bounds = [0, stats.cells]
-    whole = stats.weight(0, stats.cells) * stats.sigma(0, stats.cells)
+    spread = lambda i, j: stats.weight(i, j) * stats.sigma(i, j)
+    whole, found = spread(0, stats.cells), {}
+
+    def cut(i: int, j: int) -> tuple[float, int]:
+        if (i, j) not in found:
+            few = j - i < 2 or stats.m[j] - stats.m[i] < conf.subtree_sample_size
+            found[i, j] = (0.0, i) if few else max((spread(i, j) - spread(i, c) - spread(c, j), c) for c in range(i + 1, j))
+        return found[i, j]
+
     while len(bounds) - 1 < conf.dp_intervals_count:
-        best = None
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            if j - i < 2 or stats.m[j] - stats.m[i] < conf.subtree_sample_size:
-                continue
-            c = (i + j) // 2
-            gain = stats.weight(i, j) * stats.sigma(i, j) - stats.weight(i, c) * stats.sigma(i, c) - stats.weight(c, j) * stats.sigma(c, j)
-            if best is None or gain > best[0]:
-                best = gain, c
-        if best is None or best[0] <= conf.subtree_stop_k * whole:
-            return bounds
-        bounds = sorted([*bounds, best[1]])
+        gain, c = max(cut(i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True))
+        if gain <= conf.subtree_stop_k * whole:
+            break
+        bounds = sorted([*bounds, c])
     return bounds
 
 
