@@ -25,8 +25,9 @@ import hashlib
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,10 @@ BLOCK_BYTES = 4 << 20
 
 
 class IdEncoder:
-    """Ids of whole texts as the tokenizers library gives them, end id appended, as little-endian uint32 bytes."""
+    """Ids of whole texts as the tokenizers library gives them."""
 
-    CACHE = 1_300_000
+    #: Bytes of text that are encoded together.
+    CALL_BYTES = 4 << 20
     _made: dict = {}
 
     def __init__(self, path: str):
@@ -54,9 +56,9 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(common.tokenizer_path(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
-        self.cache = common.BoundedCache(self.CACHE)
+        self.table = units.PieceTable(lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     @classmethod
     def shared(cls, path: str) -> IdEncoder:
@@ -64,39 +66,28 @@ class IdEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not units.separable(text, self.specials):
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        head, rest = units.units(text)
-        cache = self.cache
-        out = list(map(cache.get, rest))
-        if None in out:
-            places = [i for i, known in enumerate(out) if known is None]
-            missing = list({rest[i] for i in places})
-            encoded = self.tokenizer.encode_batch_fast([" " + u for u in missing], add_special_tokens=False)
-            found = {u: self._pack(e.ids) for u, e in zip(missing, encoded, strict=True)}
-            for u, packed in found.items():
-                cache.put(u, packed)
-            for i in places:
-                out[i] = found[rest[i]]
-        first = self._pack(self.tokenizer.encode(head, add_special_tokens=False).ids) if head else b""
-        return first + b"".join(out)
+    def __call__(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text (UTF-8), in calls of bounded size."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= self.CALL_BYTES:
+                yield from units.encode_texts(held, self.table, self.whole, self.special)
+                held, size = [], 0
+        if held:
+            yield from units.encode_texts(held, self.table, self.whole, self.special)
 
 
-def _serialize(ids32: bytes, width: int) -> bytes:
-    import numpy as np
-
-    return ids32 if width == 4 else np.frombuffer(ids32, "<u4").astype("<u2").tobytes()
+def _serialize(ids: np.ndarray, end_id: int, width: int) -> bytes:
+    """The ids and the end id, little-endian."""
+    return np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
 def _deserialize(raw: bytes, width: int) -> bytes:
-    import numpy as np
-
     return raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
@@ -115,7 +106,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1
     few = docs.where((place <= common.hash_below(share)) & F.octet_length("text").between(1, sample_bytes))
     rows = few.orderBy(place, "doc_id").limit(sample_rows).select("text").collect()
     encoder = IdEncoder.shared(tokenizer)
-    samples = [_serialize(encoder(r.text) + struct.pack("<I", end_id), encoder.width) for r in rows]
+    samples = [_serialize(ids, end_id, encoder.width) for ids in encoder(r.text.encode() for r in rows)]
     if not samples:
         return b""
     try:
@@ -191,13 +182,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json"
         encoder = IdEncoder.shared(tokenizer)
         codec = _codec_dictionary(raw_dict)
         compress = zstandard.ZstdCompressor(level=level, dict_data=codec, write_checksum=False).compress
-        end = struct.pack("<I", end_id)
         for batch in batches:
             ids, frames, counts = batch.column(0), [], []
-            for text in batch.column(1):
-                ids32 = encoder(text.as_py()) + end
-                counts.append(len(ids32) // 4)
-                frames.append(compress(_serialize(ids32, encoder.width)))
+            for found in encoder(x.as_buffer().to_pybytes() for x in batch.column(1)):
+                counts.append(len(found) + 1)
+                frames.append(compress(_serialize(found, end_id, encoder.width)))
             places = [-1 if x is None else bisect_left(cuts, x) for x in ids.to_pylist()]
             yield pa.record_batch([pa.array(places, pa.int32()), ids, pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
 
@@ -258,8 +247,6 @@ def _each(batches: Iterator[pa.RecordBatch], raw: bytes, before: dict[int, int],
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before the document), n_tokens, ids of every stored document."""
-    import numpy as np
-
     blocks, raw, before = _open(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,9 @@ space. Equal pieces encode equally, so that an encoder may keep their results.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+import numpy as np
 
 #: A space whose neighbours are both white space (or the end): such runs need the whole text.
 _TANGLED = re.compile(r"\s (?:\s|\Z)")
@@ -22,3 +25,143 @@ def units(text: str) -> tuple[str, list[str]]:
     """The first piece, and the later ones without the space they start with."""
     head, *rest = text.split(" ")
     return head, rest
+
+
+#: ASCII white space, and what Python counts as such.
+_WS = np.zeros(256, bool)
+_WS[[*range(9, 14), *range(28, 33)]] = True
+_RANDOM = np.random.default_rng(5_880_131)
+#: Two hashes of a piece: a random value for each byte, and an odd multiplier with its inverse modulo 2^64.
+_HASHES = [(_RANDOM.integers(0, 1 << 64, 256, np.uint64), m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+_known_powers: dict[int, np.ndarray] = {}
+
+
+def _powers(m: int, n: int) -> np.ndarray:
+    """m^0 .. m^n modulo 2^64; kept, as every call needs the same ones."""
+    known = _known_powers.get(m)
+    if known is None or len(known) <= n:
+        known = _known_powers[m] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)]))
+    return known[: n + 1]
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each byte range, from prefix sums over all of them."""
+    out = []
+    for table, m in _HASHES:
+        up, down = _powers(m, len(data)), _powers(pow(m, -1, 1 << 64), len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * up[:-1])])
+        out.append((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
+class PieceTable:
+    """What pieces encode to, in arrays: sorted hashes, and ids end to end.
+
+    A piece is known by two 64-bit hashes. The table has a bound and starts
+    anew when it is full.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 3_000_000):
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _append(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(flat), self.used), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += len(flat)
+        return at, size
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the ids of each byte range."""
+        if len(self.keys) > self.limit:
+            self.clear()
+        key, check = piece_hashes(data, starts, ends)
+        unique, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if (check[first][which] != check).any():  # two pieces of one hash: each for itself
+            unique, first, which = key, np.arange(len(key)), np.arange(len(key))
+            place = np.full(len(key), len(self.keys))
+            known = np.zeros(len(key), bool)
+        else:
+            place = np.searchsorted(self.keys, unique)
+            inside = np.minimum(place, max(len(self.keys) - 1, 0))
+            known = np.zeros(len(unique), bool) if not len(self.keys) else (self.keys[inside] == unique) & (self.checks[inside] == check[first])
+        at, size = np.empty(len(unique), np.int64), np.empty(len(unique), np.int32)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            at[new], size[new] = self._append(self.encode(texts))
+            fresh = new if not len(self.keys) else new[self.keys[np.minimum(place[new], len(self.keys) - 1)] != unique[new]]
+            if len(unique) == len(key) and len(fresh) and len(np.unique(unique[fresh])) != len(fresh):
+                fresh = fresh[:0]
+            self.keys, self.checks = np.insert(self.keys, place[fresh], unique[fresh]), np.insert(self.checks, place[fresh], check[first[fresh]])
+            self.at, self.size = np.insert(self.at, place[fresh], at[fresh]), np.insert(self.size, place[fresh], size[fresh])
+        return at[which], size[which]
+
+
+def _tangled(data: np.ndarray, bounds: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Which of the texts (byte ranges between bounds) can't be cut at their spaces, or may not be for all that bytes tell."""
+    n = len(bounds) - 1
+    ws = _WS[data]
+    before, after = np.concatenate([[False], ws[:-1]]), np.concatenate([ws[1:], [True]])
+    filled = bounds[:-1][np.diff(bounds) > 0]
+    before[filled] = False
+    after[(bounds[1:] - 1)[np.diff(bounds) > 0]] = True
+    odd = np.flatnonzero((data == 32) & before & after)
+    # bytes that begin white space beyond ASCII: C2 85, C2 A0, E1 9A, E2 80, E2 81, E3 80
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    follow = data[np.minimum(lead + 1, len(data) - 1)]
+    d = data[lead]
+    wide = lead[((d == 0xC2) & ((follow == 0x85) | (follow == 0xA0))) | ((d == 0xE1) & (follow == 0x9A)) | ((d == 0xE2) & ((follow == 0x80) | (follow == 0x81))) | ((d == 0xE3) & (follow == 0x80))]
+    found = [odd, wide]
+    raw = data.tobytes()
+    for s in special:
+        at = raw.find(s)
+        while at >= 0:
+            found.append(np.array([at]))
+            at = raw.find(s, at + 1)
+    out = np.zeros(n, bool)
+    places = np.concatenate(found)
+    out[np.searchsorted(bounds, places, side="right") - 1] = True
+    return out
+
+
+def encode_texts(texts: list[bytes], table: PieceTable, whole: Callable[[str], list[int]], special: list[bytes]) -> list[np.ndarray]:
+    """Ids of each text (UTF-8); texts that can't be cut are encoded as a whole."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(data):
+        return [np.empty(0, np.uint32)] * len(texts)
+    tangled = _tangled(data, bounds, special)
+    begins = data == 32
+    begins[bounds[:-1][sizes > 0]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    owner = np.searchsorted(bounds, starts, side="right") - 1
+    keep = ~tangled[owner]
+    starts, ends, owner = starts[keep], ends[keep], owner[keep]
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+    if len(starts):
+        at, size = table.lookup(data, starts, ends)
+        total = np.cumsum(size, dtype=np.int64)
+        flat = table.ids[np.repeat(at - (total - size), size) + np.arange(total[-1])]
+        last = np.searchsorted(owner, np.arange(len(texts)), side="right")
+        cut = np.concatenate([[0], total])[last]
+        for i, (a, b) in enumerate(zip(np.concatenate([[0], cut[:-1]]).tolist(), cut.tolist(), strict=True)):
+            out[i] = flat[a:b]
+    for i in np.flatnonzero(tangled):
+        out[i] = np.array(whole(texts[i].decode()), np.uint32)
+    return out
