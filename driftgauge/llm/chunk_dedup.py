@@ -21,8 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgauge.llm import common
@@ -64,8 +63,15 @@ def cut_points(data: bytes, mean: int = MEAN_CHUNK, most: int = MOST_CHUNK) -> l
     return ends
 
 
+def _body(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def recipes(docs: DataFrame, text: str, row_id: str, name_bytes: int) -> DataFrame:
-    """(id, rid, text_sha256, recipe, names, contents): each task emits the content of a name once."""
+    """(id, body, rid, text_sha256, recipe, names, contents): each task emits the content of a name once.
+
+    ``body`` is a hash of the text as it is, to find the row again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -90,10 +96,10 @@ def recipes(docs: DataFrame, text: str, row_id: str, name_bytes: int) -> DataFra
                 lists.append(b"".join(recipe))
                 names.append(new)
                 contents.append(bodies)
-            yield pa.record_batch([batch.column(0), pa.array(shas, pa.string()), pa.array(lists, pa.binary()), pa.array(names, pa.list_(pa.binary())), pa.array(contents, pa.list_(pa.binary()))], names=["id", "text_sha256", "recipe", "names", "contents"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(shas, pa.string()), pa.array(lists, pa.binary()), pa.array(names, pa.list_(pa.binary())), pa.array(contents, pa.list_(pa.binary()))], names=["id", "body", "text_sha256", "recipe", "names", "contents"])
 
-    plain = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(run, "id long, text_sha256 string, recipe binary, names array<binary>, contents array<binary>").withColumn("rid", F.monotonically_increasing_id())
+    plain = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), _body(text).alias("body"))
+    return plain.mapInArrow(run, "id long, body long, text_sha256 string, recipe binary, names array<binary>, contents array<binary>").withColumn("rid", F.monotonically_increasing_id())
 
 
 def collisions(table: DataFrame) -> int:
@@ -116,26 +122,30 @@ def collisions(table: DataFrame) -> int:
     return checked.agg(F.sum("wrong")).first()[0] or 0
 
 
-def exact_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", name_sizes: tuple[int, ...] = NAME_BYTES) -> DataFrame:
-    """(row_id, keep_id, group_size, kept, text_sha256) of every row."""
+def _groups(docs: DataFrame, text: str, row_id: str, name_sizes: tuple[int, ...]) -> DataFrame:
     for size in name_sizes:
         table = common.materialize(recipes(docs, text, row_id, size), "recipes")
         if not collisions(table):
             break
     else:
         raise ValueError("chunks of different content share the longest name")
-    rows = table.select("id", "rid", "text_sha256", "recipe")
+    rows = table.select("id", "body", "rid", "text_sha256", "recipe")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))
     groups = rows.groupBy("recipe").agg(F.min(place).alias("first"), F.count("*").alias("group_size"))
     joined = rows.join(groups, "recipe")
-    return joined.select(F.col("id").alias(row_id), F.col("first.id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
+    return joined.select("id", "body", F.col("first.id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", name_sizes: tuple[int, ...] = NAME_BYTES) -> DataFrame:
+    """(row_id, keep_id, group_size, kept, text_sha256) of every row."""
+    return _groups(docs, text, row_id, name_sizes).select(F.col("id").alias(row_id), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    staying = exact_groups(docs, text, row_id).where("kept").select(F.col(row_id).alias("__stay")).distinct()
-    some = docs.join(staying, F.col(row_id).eqNullSafe(F.col("__stay")), "left_semi")
-    twin = F.row_number().over(Window.partitionBy(row_id, F.xxhash64(F.coalesce(text, F.lit("")))).orderBy(row_id))
+    staying = _groups(docs, text, row_id, NAME_BYTES).where("kept").select(F.col("id").alias("__stay"), F.col("body").alias("__body"))
+    some = docs.join(staying, F.col(row_id).cast("long").eqNullSafe(F.col("__stay")) & (_body(text) == F.col("__body")), "left_semi")
+    twin = F.row_number().over(Window.partitionBy(row_id, _body(text)).orderBy(row_id))
     return some.withColumn("__twin", twin).where("__twin = 1").drop("__twin")
 
 
