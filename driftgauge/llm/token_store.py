@@ -46,7 +46,7 @@ class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them."""
 
     #: Bytes of text that are encoded together.
-    CALL_BYTES = 4 << 20
+    CALL_BYTES = 3 << 19
     _made: dict = {}
 
     def __init__(self, path: str):

@@ -63,7 +63,7 @@ class PieceTable:
     anew when it is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 3_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 2_000_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
