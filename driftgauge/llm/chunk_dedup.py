@@ -132,7 +132,10 @@ def _groups(docs: DataFrame, text: str, row_id: str, name_sizes: tuple[int, ...]
     rows = table.select("id", "body", "rid", "text_sha256", "recipe")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))
     groups = rows.groupBy("recipe").agg(F.min(place).alias("first"), F.count("*").alias("group_size"))
-    joined = rows.join(groups, "recipe")
+    # written, so that the join stands alone and Spark can split the rows of a very large group; most recipes are single
+    groups = common.materialize(groups.where("group_size > 1"), "recipe-groups")
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))
+    joined = rows.join(groups, "recipe", "left").withColumns({"first": F.coalesce("first", own), "group_size": F.coalesce("group_size", F.lit(1))})
     return joined.select("id", "body", F.col("first.id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
 
 
