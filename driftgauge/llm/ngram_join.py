@@ -378,7 +378,8 @@ def crowd_links(sets: DataFrame, threshold: Threshold, partitions: int) -> DataF
     """Links (a, b) that connect whatever is connected among the crowd's documents (doc, shingles)."""
     window = F.expr(f"slice(shingles, 1, size(shingles) - cast(ceil(size(shingles) * {threshold.percent} / 100) as int) + 1)")
     held = sets.select("doc", F.explode(window).alias("h"))
-    first = held.groupBy("h").agg(F.min("doc").alias("m"))
+    # written, so that the join stands alone and Spark can split the rows of a very crowded shingle
+    first = common.materialize(held.groupBy("h").agg(F.min("doc").alias("m"), F.count("*").alias("k")).where("k > 1").drop("k"), "join-first")
     cells = connected_components(held.join(first, "h").select(F.col("doc").alias("a"), F.col("m").alias("b")).distinct())
     cells = cells.select(F.col("node").alias("doc"), F.col("component").alias("cell"))
     counts = cells.groupBy("cell").agg(F.count("*").alias("members"))
