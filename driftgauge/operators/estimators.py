@@ -9,13 +9,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgauge.functions.stats import half_width
 from driftgauge.operators.samplers import Stratum
 
 
+def inv_sample_prob() -> Column:
+    """What one accepted draw of a sample stands for."""
+    return F.col("__inv_prob")
+
+
+def sample_prob() -> Column:
+    """The chance of a draw; 1 over :func:`inv_sample_prob`."""
+    return 1.0 / F.col("__inv_prob")
+
+
+def running_sample_size(sample: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The draws so far in each row's stratum, counted in the order of the draws."""
+    window = Window.partitionBy(*(by or ["stratum"])).orderBy("__draw").rowsBetween(Window.unboundedPreceding, 0)
+    return sample.withColumn("__running_n", F.count("*").over(window))
+
+
 @dataclass(frozen=True)
 class Agg:
     """approx_sum(expr), approx_count(expr) or approx_count(*)."""
@@ -81,6 +97,26 @@ def estimate(sample: DataFrame, strata: list[Stratum], aggs: dict[str, Agg], con
     return combine_strata(stratum_stats(sample, aggs, by), strata, list(aggs), confidence, by)
 
 
+def progressive_half_ci(values: DataFrame, strata: list[Stratum], name: str, confidence: float) -> DataFrame:
+    """approx_progressive_count_star_half_ci and its like: only the stratified half-width of one aggregate."""
+    return combine_strata(values, strata, [name], confidence).select(f"{name}_half_ci")
+
+
+def ratio(sample: DataFrame, strata: list[Stratum], top: Agg, bottom: Agg, confidence: float = 0.95) -> DataFrame:
+    """(ratio, ratio_half_ci) of two sums in one pass, by the delta method: an addition of this engine.
+
+    The half-width is that of the sum of (top - ratio * bottom) over the bottom.
+    """
+    first = combine_strata(stratum_stats(sample, {"t": top, "b": bottom}), strata, ["t", "b"], confidence)
+    r = first.select((F.col("t") / F.nullif("b", F.lit(0.0))).alias("ratio"), F.col("b").alias("__b"))
+    row = r.first()
+    if row is None or row.ratio is None:
+        return r.select("ratio", F.lit(None).cast("double").alias("ratio_half_ci"))
+    rest = Agg("sum", top.value() - F.lit(row.ratio) * bottom.value())
+    spread = combine_strata(stratum_stats(sample, {"d": rest}), strata, ["d"], confidence)
+    return spread.select(F.lit(row.ratio).alias("ratio"), (F.col("d_half_ci") / abs(row["__b"])).alias("ratio_half_ci"))
+
+
 def combine_phases(phases: list[tuple[float, float, int]]) -> tuple[float, float, int]:
     """(mean, variance, draws) of phases, weighted by their draws."""
     total = sum(n for _, _, n in phases)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +134,13 @@ PAIRS: dict[str, tuple[str, str]] = {
     "format_overlay": ("SELECT n_nationkey, format_string('%s-%05d', n_name, n_nationkey) AS f, overlay(n_name PLACING 'xx' FROM 2 FOR 3) AS o FROM nation", "SELECT n_nationkey, printf('%s-%05d', n_name, n_nationkey) AS f, substr(n_name, 1, 1) || 'xx' || substr(n_name, 5) AS o FROM nation"),
     "initcap": ("SELECT r_regionkey, initcap(r_name) AS i FROM region", "SELECT r_regionkey, array_to_string(list_transform(string_split(r_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS i FROM region"),
     "uniform_hash_blocks": ("SELECT l_orderkey % 100 AS b, count(*) AS n FROM lineitem WHERE cast(conv(substr(md5(cast(l_orderkey AS string)), 1, 8), 16, 10) AS bigint) % 100000 < 5000 GROUP BY l_orderkey % 100", "SELECT l_orderkey % 100 AS b, count(*) AS n FROM lineitem WHERE CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100000 < 5000 GROUP BY l_orderkey % 100"),
+    "xml_functions": ("SELECT n_nationkey, xpath_string(concat('<a><b>', n_name, '</b></a>'), 'a/b') AS b FROM nation", "SELECT n_nationkey, n_name AS b FROM nation"),
+    "collation": ("SELECT count(*) AS n FROM part WHERE p_type COLLATE UTF8_LCASE = 'promo'", "SELECT count(*) AS n FROM part WHERE lower(p_type) = 'promo'"),
+    "json_agg": ("SELECT n_regionkey, to_json(array_sort(collect_list(n_nationkey))) AS j FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) || ']' AS j FROM nation GROUP BY n_regionkey"),
+    "interval_sum": ("SELECT n_regionkey, cast(extract(DAY FROM sum(make_dt_interval(n_nationkey))) AS bigint) AS d FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(sum(n_nationkey) AS BIGINT) AS d FROM nation GROUP BY n_regionkey"),
+    "user_aggregate": ("SELECT n_regionkey, aggregate(array_sort(collect_list(n_nationkey)), cast(0 AS bigint), (acc, x) -> acc * 31 + x) AS h FROM nation WHERE n_nationkey < 12 GROUP BY n_regionkey", "SELECT n_regionkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey)), lambda acc, x: acc * 31 + x) AS h FROM nation WHERE n_nationkey < 12 GROUP BY n_regionkey"),
+    "min_max_index": ("SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem", "SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem"),
+    "array_set_operations": ("SELECT n_nationkey, array_sort(array_intersect(array(n_nationkey, 1, 2), array(1, 2, 3))) AS i, size(array_union(array(n_nationkey), array(1, 2))) AS u FROM nation", "SELECT n_nationkey, list_sort(list_intersect([n_nationkey, 1, 2], [1, 2, 3])) AS i, CAST(len(list_distinct([n_nationkey, 1, 2])) AS INTEGER) AS u FROM nation"),
     "sql_function": ("SELECT driftgauge_twice(o_totalprice) AS t FROM orders", "SELECT o_totalprice * 2 AS t FROM orders"),
     "prepared": ("SELECT count(*) AS n FROM orders WHERE o_totalprice > :least", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 250000"),
 }
@@ -243,6 +251,22 @@ def _gap_materialized_view(spark: SparkSession, sf: str) -> DataFrame:
     return view.read()
 
 
+def _python_function(spark: SparkSession, sf: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def weighted(size: pd.Series, price: pd.Series) -> pd.Series:
+        return size * 2 + price
+
+    return _t("part")(spark, sf).select("p_partkey", weighted("p_size", "p_retailprice").alias("w"))
+
+
+def _approximate_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    return _t("lineitem")(spark, sf).agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"))
+
+
+def _random_order(spark: SparkSession, sf: str) -> DataFrame:
+    return _t("orders")(spark, sf).orderBy(F.rand(5)).limit(10).select("o_orderkey")
+
+
 #: Rewrites of what Spark lacks, and the operator itself for the oracle.
 GAPS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "distinct_on": (_gap_distinct_on, "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
@@ -265,6 +289,9 @@ GAPS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "range_type": (_gap_ranges, "SELECT p_partkey, p_size >= 5 AND p_size < 20 AS c, p_size < 20 AND p_size + 10 > 5 AS o FROM part"),
     "erf_functions": (_gap_erf, ""),
     "unaccent": (_gap_unaccent, "SELECT r_regionkey, strip_accents(r_name || 'éüñÀ') AS u FROM region"),
+    "python_function": (_python_function, "SELECT p_partkey, p_size * 2 + p_retailprice AS w FROM part"),
+    "approximate_distinct": (_approximate_distinct, ""),
+    "random_order": (_random_order, ""),
     "materialized_view": (_gap_materialized_view, "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey"),
 }
 

@@ -17,6 +17,7 @@ approximate.
 
 from __future__ import annotations
 
+import logging
 import math
 import time
 from dataclasses import dataclass, field
@@ -32,6 +33,7 @@ from driftgauge.operators.estimators import Agg, combine_phases, stratum_stats
 from driftgauge.operators.rank_index import RankIndex
 from driftgauge.operators.samplers import Stratum, swr_strata, warn_rejections
 
+_log = logging.getLogger(__name__)
 #: Rounds that got worse before the loop goes back.
 BAD_ROUNDS = 1
 #: Below so many draws a pilot is all there is, where ``pswr_to_swr`` is on.
@@ -228,6 +230,8 @@ class OnlineAggregator:
                     strategy = result.strategy = "uniform"
             phase += 1
         result.met = enough()
+        if conf.tablesample_swr_ask_for_samples_attempted:
+            _log.info("N=%d", result.draws)
         result.values = {g: {n: (v[n][0], None if math.isinf(v[n][1]) else z * math.sqrt(v[n][1])) for n in names} for g, v in combined().items()}
         if not by and not result.values:
             result.values = {(): {n: (0.0, 0.0) for n in names}}

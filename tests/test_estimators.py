@@ -8,7 +8,7 @@ from driftgauge import tables
 from driftgauge.conf import AqpConf
 from driftgauge.functions.stats import clt_half_width, erf_column, erf_inv, erf_inv_column
 from driftgauge.operators import allocate, matches, samplers
-from driftgauge.operators.estimators import Agg, approx_count, approx_sum, combine_phases, estimate, stratum_stats
+from driftgauge.operators.estimators import Agg, approx_count, approx_sum, combine_phases, estimate, inv_sample_prob, ratio, running_sample_size, sample_prob, stratum_stats
 from driftgauge.operators.rank_index import build_rank_index
 from driftgauge.operators.samplers import Stratum, swr, swr_strata
 from driftgauge.sources.generators import high_variance_ranges, skewed_facts, zipf_int
@@ -218,3 +218,16 @@ def test_generators(spark):
     z = spark.range(20_000).select(zipf_int((F.col("id") + 0.5) / 20_000.0, 1000, 1.0).alias("z"))
     assert z.where("z = 1").count() > 5 * z.where("z between 500 and 510").count()
     assert z.agg(F.max("z")).first()[0] <= 1000
+
+
+def test_ratio_and_notice(spark, index, caplog):
+    sample, strata = swr(index, 3000, 3), [Stratum(0, 0, index.weight, 3000)]
+    volume = F.expr("l_extendedprice * (1 - l_discount)")
+    got = ratio(sample, strata, Agg("sum", F.when(F.col("l_returnflag") == "R", volume)), Agg("sum", volume)).first()
+    truth = index.rows.agg(F.sum(F.when(F.col("l_returnflag") == "R", volume)) / F.sum(volume)).first()[0]
+    assert abs(got["ratio"] - truth) < 2 * got["ratio_half_ci"] < 0.1
+    with caplog.at_level("INFO"):
+        OnlineAggregator(index, AqpConf(tablesample_swr_ask_for_samples_attempted=True)).run({"n": approx_count()}, 100, 50, rel_error=0.5)
+    assert "N=50" in caplog.text
+    assert running_sample_size(sample).agg(F.max("__running_n")).first()[0] == 3000
+    assert sample.select(F.sum(sample_prob() * inv_sample_prob())).first()[0] == pytest.approx(3000)
