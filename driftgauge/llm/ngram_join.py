@@ -463,7 +463,8 @@ def join_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     checked = pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
     links = checked.union(crowd_links(common.materialize(sets.join(crowd, "doc", "left_semi"), "join-crowd"), threshold, partitions))
     classes = zones.where(F.col("cls").isNotNull()).select("doc", "cls")
-    heads = classes.groupBy("cls").agg(F.min("doc").alias("head"))
+    # written, so that the join stands alone and Spark can split the rows of a very large class; most classes are single
+    heads = common.materialize(classes.groupBy("cls").agg(F.min("doc").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k"), "join-heads")
     members = classes.join(heads, "cls").select(F.col("doc").alias("a"), F.col("head").alias("b")).where("a <> b")
     parts = connected_components(links.union(members))
     return zones.select("doc", "n").join(parts, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias(row_id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
