@@ -133,7 +133,7 @@ def subsample_estimate(sample: DataFrame, measures: dict[str, Column], round_cou
     """
     parts = sample.groupBy("__vpart").agg(F.count("*").alias("__n"), *[F.sum(m.cast("double") / F.col("__vprob")).alias(name) for name, m in measures.items()])
     # one row for each sub-sample, a hundred by default
-    rows = parts.crossJoin(F.broadcast(parts.agg(F.sum("__n").alias("__all"))))
+    rows = parts.withColumn("__all", F.sum("__n").over(Window.partitionBy(F.lit(1))))
     scaled = rows.select("__n", *[(F.col(m) / F.col("__n") * F.col("__all")).alias(m) for m in measures])
     outs = []
     for m in measures:

@@ -33,11 +33,14 @@ class RankIndex:
     key: str
     weight: int
     _bounds: dict = field(default_factory=dict)
+    _stats: DataFrame | None = None
 
     def key_stats(self) -> DataFrame:
-        """(key, cnt, lo_rank, hi_rank) with hi exclusive."""
-        stats = self.rows.groupBy(self.key).agg(F.count("*").alias("cnt"), F.min("rank").alias("lo_rank"))
-        return stats.select(F.col(self.key).alias("key"), "cnt", "lo_rank", (F.col("lo_rank") + F.col("cnt")).alias("hi_rank"))
+        """(key, cnt, lo_rank, hi_rank) with hi exclusive; written when first asked for."""
+        if self._stats is None:
+            stats = self.rows.groupBy(self.key).agg(F.count("*").alias("cnt"), F.min("rank").alias("lo_rank"))
+            self._stats = write_once(stats.select(F.col(self.key).alias("key"), "cnt", "lo_rank", (F.col("lo_rank") + F.col("cnt")).alias("hi_rank")), "key-stats")
+        return self._stats
 
     def bounds(self, key_range: tuple | None = None) -> tuple[int, int]:
         """Ranks [lo, hi) of keys in [low, high); either end may be None."""

@@ -192,8 +192,7 @@ def scan_stratified(df: DataFrame, strata: list[str], rate: float, by: list[str]
     one row for each stratum.
     """
     sizes = df.groupBy(*strata).agg(F.count("*").alias("__size"))
-    all_ = sizes.agg(F.sum("__size").alias("__rows"), F.count("*").alias("__strata"))
-    sizes = sizes.crossJoin(F.broadcast(all_))  # one row
+    whole = sizes.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("rows"), F.count("*").alias("strata")).first()
     text = _row_text(by)
 
     def matched(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -203,8 +202,8 @@ def scan_stratified(df: DataFrame, strata: list[str], rate: float, by: list[str]
             same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
         return left.join(renamed, same).drop(*[f"__r_{c}" for c in strata])
 
-    chance = (F.col("__rows") * rate / F.col("__strata")) / F.col("__size")
-    kept = matched(df, sizes).where(unit(u32(seed, "scan", text)) < chance).drop("__rows", "__strata")
+    chance = F.lit(whole.rows * rate / max(whole.strata, 1)) / F.col("__size")
+    kept = matched(df, sizes).where(unit(u32(seed, "scan", text)) < chance)
     taken = kept.groupBy(*strata).agg(F.count("*").alias("__taken"))
     out = matched(kept, taken)
     return out.withColumn("__vprob", F.col("__taken") / F.col("__size")).withColumn("__vpart", (u32(seed, "part", text) % parts).cast("int")).drop("__taken", "__size")

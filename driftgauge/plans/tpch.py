@@ -195,15 +195,12 @@ def walk_sample(spark: SparkSession, sf_dir: str, q: str, n: int, seed: int) ->
     sample = swr(idx, n, seed, s.key_range)
     for k, j in enumerate(s.walk):
         if j.many:
-            sample = matches.random_match(sample, j.left, index(spark, sf_dir, j.table, j.right), seed, f"match{k}")
+            sample = matches.random_match(sample, j.left, index(spark, sf_dir, j.table, j.right), seed, f"match{k}", draws=n)
         else:
             right = table(spark, sf_dir, j.table)
             if j.alias:
                 right = right.select(*[F.col(c).alias(c.replace("n_", f"{j.alias}_", 1)) for c in right.columns])
-            same = F.lit(True)
-            for a, b in zip(j.left.split(","), j.right.split(","), strict=True):
-                same = same & (F.col(a) == F.col(b))
-            sample = matches.lookup(sample, right, same)
+            sample = matches.lookup(sample, right, list(zip(j.left.split(","), j.right.split(","), strict=True)), draws=n)
     return matches.accept(sample, F.expr(s.walk_where)), [Stratum(0, *idx.bounds(s.key_range), n)]
 
 
