@@ -123,6 +123,8 @@ class Crf:
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        # numerals such as superscripts are word characters, but no letters
+        words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.labels:
             return out

@@ -279,6 +279,13 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, crowd, chunk, leaf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
 
 
+@pytest.mark.parametrize(("percent", "width"), [(60, 3), (95, 5)])
+def test_join_with_other_parameters(spark, percent, width):
+    rows = near_rows(4)
+    found = ngram_join.join_components(table(spark, rows), percent=percent, width=width).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, percent, width)
+
+
 def test_join_query_and_edges(spark, docs_dir):
     rows = [r for r in EDGES if r[0] is not None and r[0] != 6] + [(6, EDGES[0][1]), (10, "a b c"), (11, "A b C"), (12, "a b")]
     found = ngram_join.op4_ngram_jaccard_join(spark, docs_dir(rows)).collect()
@@ -359,7 +366,7 @@ def test_language_query(spark, docs_dir):
     for i in range(240):
         lang = rnd.choice(list(PARTS))
         rows.append((i, sentence(rnd, lang, rnd.randint(5, 60)), lang))
-    rows += [(900, None, "en"), (901, " 12 !! ", "de"), (902, sentence(rnd, "de", 400), None), (None, sentence(rnd, "fr", 40), "fr"), (903, sentence(rnd, "fr", 20_000), None)]
+    rows += [(900, None, "en"), (901, " 12 !! ² ", "de"), (902, sentence(rnd, "de", 400), None), (None, sentence(rnd, "fr", 40), "fr"), (903, sentence(rnd, "fr", 20_000), None)]
     found = {r.doc_id: r for r in language.op7_language_crf(spark, docs_dir(rows)).collect()}
     assert len(found) == len(rows)
     held = [r for r in found.values() if r.held_out and r.doc_id < 900]
