@@ -8,6 +8,7 @@ the sample size.
 
 from __future__ import annotations
 
+import hashlib
 import time
 import warnings
 from dataclasses import dataclass
@@ -142,22 +143,28 @@ def system_rows(df: DataFrame, n: int, by: list[str], seed: int = 0) -> DataFram
 
 
 def system_time(df: DataFrame, millis: float, by: list[str], seed: int = 0, blocks: int = 64) -> DataFrame:
-    """Rows of hash blocks, read in a random order until the time is over; at least the first block if there is time.
+    """Rows of blocks that are read in a random order until the time is over.
 
-    Each block is counted to know how long it takes; the blocks read are the result.
+    Blocks are the table's files where it has several, so that each is read
+    once and alone; otherwise hash blocks of its rows. A block is counted to
+    know how long it takes; the blocks read are the result.
     """
     if millis is None or millis < 0:
         raise ValueError("sample collection time must not be negative")
     deadline = time.monotonic() + millis / 1000
-    numbered = df.withColumn("__block", (md5_u32(F.concat(F.lit("block|"), _row_text(by))) % blocks).cast("int"))
-    order = sorted(range(blocks), key=lambda b: hash((seed, b)))
-    taken: list[int] = []
-    for b in order:
+    files = sorted(df.inputFiles())
+    if len(files) >= 8 and "_metadata" not in df.columns:
+        at = F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0)
+        names = [f.rpartition("/")[2] for f in files]
+    else:
+        names, at = [str(b) for b in range(blocks)], (md5_u32(F.concat(F.lit("block|"), _row_text(by))) % blocks).cast("string")
+    taken: list[str] = []
+    for name in sorted(names, key=lambda b: hashlib.md5(f"{seed}|{b}".encode()).digest()):
         if time.monotonic() >= deadline:
             break
-        numbered.where(F.col("__block") == b).count()
-        taken.append(b)
-    return numbered.where(F.col("__block").isin(taken) if taken else F.lit(False)).drop("__block")
+        df.where(at == name).count()
+        taken.append(name)
+    return df.where(at.isin(taken) if taken else F.lit(False))
 
 
 def reservoir(df: DataFrame, n: int, by: list[str], seed: int = 0) -> DataFrame:
