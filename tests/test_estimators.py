@@ -199,7 +199,7 @@ def test_conf(spark):
     assert conf.dp_intervals_count == 7 and conf.strategy == "greedy" and AqpConf().default_sample == 1000
 
 
-def test_block_and_system_samplers(spark, tmp_path):
+def test_block_and_system_samplers(spark, tmp_path, monkeypatch):
     df = tables.load(spark, SF, "orders")
     assert samplers.block_sample(10, 4, 1) == sorted(samplers.block_sample(10, 4, 1)) and len(samplers.block_sample(3, 9)) == 3
     assert samplers.system_rows(df, 10**6, ["o_orderkey"]).count() == df.count()
@@ -211,7 +211,10 @@ def test_block_and_system_samplers(spark, tmp_path):
     df.repartition(12).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert samplers.system_time(many, 60_000, ["o_orderkey"]).count() == df.count()
-    some = samplers.system_time(many, 1, ["o_orderkey"], 3)
+    clock = iter(range(1000))
+    monkeypatch.setattr(samplers.time, "monotonic", lambda: next(clock) * 0.3)
+    some = samplers.system_time(many, 1000, ["o_orderkey"], 3)
+    monkeypatch.undo()
     assert 0 < some.count() < df.count() and some.columns == df.columns
     assert samplers.estimated_rows(0) == 1000 and samplers.estimated_rows(7) == 7
 
