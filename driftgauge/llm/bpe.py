@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ def byte_alphabet() -> dict[str, int]:
 class SegmentTreeBpe:
     """Encoder and decoder for a ``tokenizer.json`` of the byte-level BPE kind."""
 
-    CACHE, PIECES = 800_000, 1_200_000
+    CACHE = 1_100_000
+    #: Bytes of text that are encoded together.
+    CALL_BYTES = 3 << 19
     _made: dict = {}
 
     def __init__(self, path: str):
@@ -59,7 +62,8 @@ class SegmentTreeBpe:
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.merged_id = {r: m for r, m in self.rank.values()}
         self.pretokens = common.BoundedCache(self.CACHE)
-        self.pieces = common.BoundedCache(self.PIECES)
+        self.table = units.PieceTable(lambda texts: [self._plain(t) for t in texts])
+        self.decimal = [str(i) for i in range(max(self.piece) + 1)]
 
     @classmethod
     def shared(cls, path: str) -> SegmentTreeBpe:
@@ -143,36 +147,25 @@ class SegmentTreeBpe:
         piece = self.piece
         return b"".join([piece[i] for i in ids]).decode("utf-8", "replace")
 
-    def _digest_of(self, ids: list[int]) -> tuple[int, str, bytes]:
-        piece = self.piece
-        return len(ids), ",".join(map(str, ids)), b"".join([piece[i] for i in ids])
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Tokens, sha256 of the decimal ids, sha256 of the decoded text.
-
-        Pieces that encode independently keep their ids and decoded bytes, so
-        a repeated word costs a lookup.
-        """
-        if not text:
-            parts = []
-        elif not units.separable(text, tuple(self.special)):
-            parts = [self._digest_of(self.encode(text))]
-        else:
-            head, rest = units.units(text)
-            parts = [self._digest_of(self._plain(head))] if head else []
-            pieces = self.pieces
-            known = list(map(pieces.get, rest))
-            if None in known:
-                for i, u in enumerate(rest):
-                    if known[i] is None:
-                        found = pieces.get(u)
-                        if found is None:
-                            found = self._digest_of(self._plain(" " + u))
-                            pieces.put(u, found)
-                        known[i] = found
-            parts += known
-        decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()
-        return sum(p[0] for p in parts), hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    def ids(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text (UTF-8), in calls of bounded size; pieces that encode independently are encoded once."""
+        held, size = [], 0
+        special = [t.encode() for t in self.special]
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= self.CALL_BYTES:
+                yield from units.encode_texts(held, self.table, self.encode, special)
+                held, size = [], 0
+        if held:
+            yield from units.encode_texts(held, self.table, self.encode, special)
+
+    def digests(self, texts: Iterable[bytes]) -> Iterator[tuple[int, str, str]]:
+        """Tokens, sha256 of the decimal ids, sha256 of the decoded text, of each text (UTF-8)."""
+        decimal = self.decimal
+        for ids in map(np.ndarray.tolist, self.ids(texts)):
+            written = ",".join([decimal[i] for i in ids]).encode()
+            yield len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -213,7 +206,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = SegmentTreeBpe.shared(tokenizer)
         for batch in batches:
-            rows = [bpe.digest(t.as_py()) for t in batch.column(1)]
+            rows = list(bpe.digests(t.as_buffer().to_pybytes() for t in batch.column(1)))
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
