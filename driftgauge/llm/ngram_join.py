@@ -49,8 +49,8 @@ from driftgauge.llm.components import connected_components
 
 #: Shingle pivots with more documents than this are crowded.
 CROWD = 16
-#: Documents of a cell that one task compares.
-CHUNK = 3000
+#: Documents of a cell that one task compares with each other, and probes that it compares with them.
+CHUNK, BLOCK = 600, 3000
 #: Regions this small are compared directly.
 LEAF = 256
 #: Share of the hash space whose shingles a document of up to so many shingles emits.
@@ -413,7 +413,7 @@ def _window(*by: str):
 
 def _against(probes: DataFrame, rows: DataFrame, threshold: Threshold, partitions: int) -> DataFrame:
     """Links between probes and rows of the same cell, compared in blocks of bounded size."""
-    block = F.expr(f"cast(pmod(xxhash64(doc), greatest(1, ceil(k / {CHUNK}))) as int)")
+    block = F.expr(f"cast(pmod(xxhash64(doc), greatest(1, ceil(k / {BLOCK}))) as int)")
     sized = probes.join(probes.groupBy("cell").agg(F.count("*").alias("k")), "cell").select("cell", "doc", "shingles", block.alias("block"))
     blocks = sized.select("cell", "block").distinct()
     right = rows.select("cell", "chunk", "doc", "shingles").join(blocks, "cell").select("cell", "chunk", "block", "doc", "shingles", F.lit(False).alias("probe"))

@@ -273,7 +273,7 @@ def near_rows(seed):
 @pytest.mark.parametrize(("seed", "crowd", "chunk", "leaf"), [(1, 16, 3000, 256), (2, 4, 20, 8), (3, 2, 12, 4)])
 def test_join_equals_brute_force(spark, monkeypatch, seed, crowd, chunk, leaf):
     rows = near_rows(seed)
-    for name, value in (("CROWD", crowd), ("CHUNK", chunk), ("LEAF", leaf)):
+    for name, value in (("CROWD", crowd), ("CHUNK", chunk), ("BLOCK", 2 * chunk), ("LEAF", leaf)):
         monkeypatch.setattr(ngram_join, name, value)
     found = ngram_join.join_components(table(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
