@@ -453,10 +453,12 @@ def join_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     plain = docs.select(F.col(row_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     zones = common.materialize(zone_table(plain, width, threshold), "join-zones")
     met = common.materialize(meetings(zones.where(F.size("zone") + F.size("marks") > 0), partitions), "join-meetings")
+    common.release(spark)
     pairs, crowd = candidate_pairs(met, zones, threshold, partitions)
     pairs = common.materialize(pairs, "join-pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(crowd).distinct()
     sets = common.materialize(shingle_sets(plain, wanted, width), "join-sets")
+    common.release(spark)
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
