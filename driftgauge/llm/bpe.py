@@ -6,7 +6,8 @@ leftmost pair of the lowest rank. A merge changes three leaves, each a walk of
 logarithmic length, and the work ends when the root holds no rank. A pre-token
 of n bytes takes O(n log n) steps, however long it is.
 
-Null text counts as empty: no ids, empty decoded text. Texts are never cut.
+Null text counts as empty: no ids, empty decoded text. Texts are never cut. Rows
+with a null id and repeated rows each give their row; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ exactly if their recipes are.
 
 Null text counts as empty. Rows with a null id are grouped like others and stay
 only if no row of their group has an id. Of repeated rows of the staying id one
-stays.
+stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: ASCII white space as a regular-expression class body.
 WS = r"\x20\x09-\x0D"

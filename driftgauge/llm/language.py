@@ -13,7 +13,9 @@ of the smallest hash of ``doc_id`` outside the held-out quarter); every document
 is then labelled in full. Only text and language are used.
 
 Null text, or text without a letter, is ``und`` with score 0. With nothing to
-learn from, all is ``und``.
+learn from, all is ``und``. A row with a null id is not held out. Repeated rows
+each give their row; an empty table gives none. Of equal probabilities the
+first language in alphabetical order wins.
 """
 
 from __future__ import annotations

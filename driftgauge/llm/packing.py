@@ -15,7 +15,7 @@ like any other; nothing is dropped.
 
 Null text has the length of its separator, 1. Null sources and clusters
 conflict with nothing. Repeated rows are packed each. Rows with a null id form
-part of the group of that hash.
+part of the group of that hash. An empty table gives no bins.
 """
 
 from __future__ import annotations

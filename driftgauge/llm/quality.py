@@ -11,7 +11,7 @@ What is learned comes from at most ``sample_rows`` labelled rows (those of the
 smallest hash of ``doc_id``); everything is judged.
 
 Null text counts as empty: no words, base rules fail. Repeated rows are judged
-alike. With no labels of one kind no rule is learned and the base rules decide.
+alike; rows with a null id are judged by their text. An empty table gives no row. With no labels of one kind no rule is learned and the base rules decide.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Only DataFrame functions are used. The text is read once; what is shuffled is
 spans of documents that hold a weak candidate next to something.
 
 Positions count code points, ends are exclusive. Null text counts as empty.
-Repeated rows each give their result. ``documents`` may have any extra columns.
+Repeated rows each give their result, rows
+with a null id too, and an empty table gives none. ``documents`` may have any extra columns.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ frame of its own, compressed with the shared dictionary; the offset index at
 the block's head gives access to one short document without the others.
 
 Null text counts as empty. A document always ends with the end id, so an empty
-one has one token. Repeated rows are stored as often as they come.
+one has one token. Repeated rows are stored as often as they come. An empty table
+gives an empty store.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Words are runs without Unicode white space, each with U+2581 in front. The
 vocabulary is that of a sentencepiece file in which every piece i gets the
 score -ln(i + 1) (Zipf's law over ids); any list of (piece, score) may be given
 instead. Null or blank text has 0 tokens. Equal words are counted once in a
-bounded cache.
+bounded cache. Rows with a null id and repeated rows each give their row; an
+empty table gives none.
 """
 
 from __future__ import annotations
