@@ -14,7 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 WS = r"\x20\x09-\x0D"
 
 
+def ship(spark: SparkSession) -> None:
+    """Put this package's folder on the workers' path, for sessions that were started elsewhere.
+
+    On a cluster the package is installed or sent along as usual; the extra
+    entry does no harm there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -64,6 +78,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs a re-read of files, not a recomputation.
     """
     spark = df.sparkSession
+    ship(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
