@@ -50,7 +50,7 @@ from driftgauge.llm.components import connected_components
 #: Shingle pivots with more documents than this are crowded.
 CROWD = 16
 #: Documents of a cell that one task compares with each other, and probes that it compares with them.
-CHUNK, BLOCK = 600, 3000
+CHUNK, BLOCK = 3000, 3000
 #: Regions this small are compared directly.
 LEAF = 256
 #: Share of the hash space whose shingles a document of up to so many shingles emits.
