@@ -84,6 +84,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote, once all that needed them is written."""
+    files = df.inputFiles()
+    if files:
+        remove_path(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that nothing refers to any more.
 

@@ -243,7 +243,7 @@ def candidate_pairs(met: DataFrame, zones: DataFrame, threshold: Threshold, part
     cls = F.xxhash64("cls").alias("cls")
     early = zones.where(F.size("crowded") > 0).select(cls, F.explode("crowded").alias("place"))
     hot = early.union(met.where("hot").select("cls", "place")).groupBy("cls").agg(F.collect_set("place").alias("hot"))
-    base = zones.where(F.size("zone") + F.size("crowded") > 0).groupBy(cls).agg(F.first("n").alias("size"), F.first("limit").alias("limit"), F.min("doc").alias("head"))
+    base = zones.where("emitted").groupBy(cls).agg(F.first("n").alias("size"), F.first("limit").alias("limit"), F.min("doc").alias("head"))
     window = lambda n: F.expr(f"{n} - cast(ceil({n} * {threshold.percent} / 100) as int) + 1")
     sure = F.col("limit") - F.size(F.filter("hot", lambda x: x < F.col("limit")))
     state = base.join(hot, "cls", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<int>"))).select("cls", "hot", "head", (sure < window("size")).alias("crowd"))
@@ -451,11 +451,15 @@ def join_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     spark, threshold = docs.sparkSession, Threshold(percent)
     partitions = common.shuffle_partitions(spark)
     plain = docs.select(F.col(row_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    zones = common.materialize(zone_table(plain, width, threshold), "join-zones")
-    met = common.materialize(meetings(zones.where(F.size("zone") + F.size("marks") > 0), partitions), "join-meetings")
+    full = common.materialize(zone_table(plain, width, threshold), "join-zones")
+    met = common.materialize(meetings(full.where(F.size("zone") + F.size("marks") > 0), partitions), "join-meetings")
+    # the shingles themselves, most of the table, have done their work
+    zones = common.materialize(full.select("doc", "n", "cls", "limit", "crowded", (F.size("zone") + F.size("crowded") > 0).alias("emitted")), "join-documents")
+    common.drop_table(full)
     common.release(spark)
     pairs, crowd = candidate_pairs(met, zones, threshold, partitions)
     pairs = common.materialize(pairs, "join-pairs")
+    common.drop_table(met)
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(crowd).distinct()
     sets = common.materialize(shingle_sets(plain, wanted, width), "join-sets")
     common.release(spark)
