@@ -31,7 +31,7 @@ SHARED: dict[str, str] = {
     "any_all": "SELECT count(*) AS n FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name < 'B') AND n_nationkey >= (SELECT max(n_nationkey) FROM nation WHERE n_nationkey < 2)",
     "case_coalesce": "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), '?') AS status, greatest(o_custkey, 700) AS g, least(o_custkey, 700) AS l FROM orders",
     "row_comparison": "SELECT count(*) AS n FROM lineitem WHERE l_orderkey < 500 OR (l_orderkey = 500 AND l_linenumber < 3)",
-    "generated_column": "SELECT o_orderkey, round(o_totalprice * 0.19, 2) AS tax FROM orders WHERE o_totalprice * 0.19 > 80000",
+    "generated_column": "SELECT o_orderkey, o_totalprice * 0.19 AS tax FROM orders WHERE o_totalprice * 0.19 > 80000",
     # joins
     "join_inner": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "join_left_extra": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '5-LOW' GROUP BY c_custkey",
