@@ -298,7 +298,7 @@ GAPS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 def _sql(text: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables.register_views(spark, sf_dir)
+        tables.register_views(spark, sf_dir, text)
         if name == "sql_function":
             spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION driftgauge_twice(x DOUBLE) RETURNS DOUBLE RETURN x * 2")
         return spark.sql(text, args={"least": 250_000}) if name == "prepared" else spark.sql(text)

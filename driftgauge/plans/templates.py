@@ -104,8 +104,9 @@ def template(name: str, **values) -> str:
 
 def query(name: str, **values) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tpch.register(spark, sf_dir)
-        return spark.sql(template(name, **values))
+        text = template(name, **values)
+        tpch.register(spark, sf_dir, text)
+        return spark.sql(text)
 
     return run
 

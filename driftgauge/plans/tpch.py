@@ -144,9 +144,12 @@ TIES = {"lineitem": tables.LINEITEM_ID, "part": ("p_partkey",), "partsupp": ("ps
 _indexes: dict[tuple, RankIndex] = {}
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    tables.register_views(spark, sf_dir)
-    spark.sql(PARTSUPP).createOrReplaceTempView("partsupp")
+def register(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Views of the tables that a query's text names."""
+    made = "partsupp" in text
+    tables.register_views(spark, sf_dir, text + (" lineitem" if made else ""))
+    if made:
+        spark.sql(PARTSUPP).createOrReplaceTempView("partsupp")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,7 +180,7 @@ def exact_sql(q: str) -> str:
 
 def exact(q: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, exact_sql(q))
         return spark.sql(exact_sql(q))
 
     return run
@@ -294,7 +297,7 @@ def universe_query(q: str, rate: float = UNIVERSE_RATE) -> Callable[[SparkSessio
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = SPECS[q]
-        register(spark, sf_dir)
+        register(spark, sf_dir, s.body())
         for k, (name, key) in enumerate(s.universe.items()):
             kept = universe(spark.table(name), F.expr(key.replace("varchar(20)", "string")), rate)
             kept = kept.withColumnsRenamed({"__vprob": "vprob", "__vpart": "vpart"}) if k == 0 else kept.drop("__vprob", "__vpart")
@@ -302,7 +305,7 @@ def universe_query(q: str, rate: float = UNIVERSE_RATE) -> Callable[[SparkSessio
         cols = ", ".join(f"{m} AS {n}" for n, m in s.measures.items())
         sample = spark.sql(f"SELECT vprob AS __vprob, vpart AS __vpart, {cols} {s.body()}")
         out = _rounded(subsample_estimate(sample, {n: F.col(n) for n in s.measures}, _counts(s)), s.measures)
-        register(spark, sf_dir)
+        register(spark, sf_dir, s.body())  # no sample stays behind under a table's name
         return out
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").withColumn("julian_date", julian(F.col("ts").cast("date")))
 
 
-def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> None:
-    """Temporary views of the tables, each named as its table."""
-    for name in names:
+def register_views(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
+    """Temporary views of the tables, each named as its table; only of those that a text names, if it is given."""
+    for name in NAMES if text is None else [n for n in NAMES if re.search(rf"\b{n}\b", text)]:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
