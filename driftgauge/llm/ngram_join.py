@@ -51,6 +51,8 @@ from driftgauge.llm.components import connected_components
 CROWD = 16
 #: Documents of a cell that one task compares with each other, and probes that it compares with them.
 CHUNK, BLOCK = 3000, 3000
+#: Documents whose shingles a task holds at once.
+PART = 4000
 #: Regions this small are compared directly.
 LEAF = 256
 #: Share of the hash space whose shingles a document of up to so many shingles emits.
@@ -66,7 +68,7 @@ def zone(n: float) -> float:
 class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
-    CACHE = 500_000
+    CACHE = 250_000
     _made: dict = {}
 
     def __init__(self, width: int):
@@ -138,8 +140,8 @@ def zone_table(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, known = Shingler.shared(width), common.BoundedCache(500_000)
-        for batch in batches:
+        shingle, known = Shingler.shared(width), common.BoundedCache(250_000)
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
             ids = batch.column(0)
             ns, digests, limits, zones = [], [], [], []
             for doc_id, text in zip(ids.to_pylist(), batch.column(1), strict=True):
