@@ -52,7 +52,7 @@ CROWD = 16
 #: Documents of a cell that one task compares with each other, and probes that it compares with them.
 CHUNK, BLOCK = 3000, 3000
 #: Documents whose shingles a task holds at once.
-PART = 4000
+PART = 10_000
 #: Regions this small are compared directly.
 LEAF = 256
 #: Share of the hash space whose shingles a document of up to so many shingles emits.
