@@ -2,7 +2,8 @@
 
 1. Split the predicate into a key range and a rest; an empty range ends here.
 2. Pick the index: the one named, or the one whose range weighs least.
-3. Pilot: draws over the whole range; stop if they do.
+3. Pilot: draws over the whole range; stop if they do. While no draw has
+   counted for anything, further draws over the whole range join the pilot.
 4. Prefix statistics of the pilot at a bounded number of ranks.
 5. Strata and draws by the strategy in force.
 6. Rounds of bounded size, each one Spark job for all strata; after each, the
@@ -10,6 +11,10 @@
 7. If a round makes the half-width worse, go back to the last good state and go
    on with one stratum, where that is switched on.
 
+An estimate is settled by draws that count for something: as long as an
+aggregate (of a group) has none, its 0 has no half-width and does not meet any
+target, so that draws go on until the budget is spent.
+
 What reaches the driver is a row of sums for each stratum or cut. Phases weigh
 by their draws and strata follow from the pilot, so that half-widths are
 approximate.
@@ -66,14 +71,15 @@ class AqpResult:
     strategy: str
     rounds: list[Round] = field(default_factory=list)
     strata: list[Stratum] = field(default_factory=list)
+    #: whether the watched half-width is on target, in every group that was drawn
     met: bool = False
 
     def value(self, name: str | None = None, group: tuple = ()) -> tuple[float, float | None]:
         return self.values[group][name or self.names[0]]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        fields = [*[f"{b} string" for b in self.by], *[f"{n} double, {n}_half_ci double" for n in self.names], "draws long, accepted long"]
-        rows = [(*map(str, g), *[x for n in self.names for x in v[n]], self.draws, self.accepted) for g, v in self.values.items()]
+        fields = [*[f"{b} string" for b in self.by], *[f"{n} double, {n}_half_ci double" for n in self.names], "draws long, accepted long, met boolean"]
+        rows = [(*map(str, g), *[x for n in self.names for x in v[n]], self.draws, self.accepted, self.met) for g, v in self.values.items()]
         return spark.createDataFrame(rows, ", ".join(fields))
 
     def explain(self) -> str:
@@ -127,9 +133,10 @@ class OnlineAggregator:
         result = AqpResult(names, by, {}, 0, 0, index.key, hi - lo, strategy)
         if hi <= lo:
             result.values = {} if by else {(): {n: (0.0, None) for n in names}}
+            result.met = True  # no row is there: 0 is exact
             return result
         z = math.sqrt(2) * erf_inv(confidence)
-        phases: list[dict] = []  # each: draws, {group: {name: (mean, variance)}}
+        phases: list[dict] = []  # each: draws, {group: {name: (mean, variance, sum of squares)}}
 
         def sample(strata: list[Stratum], tag: str) -> DataFrame:
             drawn = swr_strata(index, strata, seed, predicate, tag=tag)
@@ -139,31 +146,43 @@ class OnlineAggregator:
             n_of = {s.number: s.draws for s in strata}
             out: dict[tuple, dict[str, list[float]]] = {}
             for r in rows:
-                at = out.setdefault(tuple(r[b] for b in by), {n: [0.0, 0.0] for n in names})
+                at = out.setdefault(tuple(r[b] for b in by), {n: [0.0, 0.0, 0.0] for n in names})
                 n = n_of[r.stratum]
                 for name in names:
                     s, ss = r[f"{name}__s"] or 0.0, r[f"{name}__ss"] or 0.0
                     at[name][0] += s / n
                     at[name][1] += max(0.0, ss - s * s / n) / (n * (n - 1)) if n > 1 else math.inf
+                    at[name][2] += ss
             return {"draws": sum(n_of.values()), "groups": out}
 
         def combined() -> dict[tuple, dict[str, tuple[float, float]]]:
             groups = {g for p in phases for g in p["groups"]}
-            return {g: {name: combine_phases([(*p["groups"].get(g, {}).get(name, (0.0, 0.0)), p["draws"]) for p in phases])[:2] for name in names} for g in groups}
+            return {g: {name: together([(*p["groups"].get(g, {}).get(name, (0.0, 0.0, 0.0)), p["draws"]) for p in phases]) for name in names} for g in groups}
+
+        def together(parts: list[tuple[float, float, float, int]]) -> tuple[float, float]:
+            mean, var, _ = combine_phases([(m, v, n) for m, v, _, n in parts])
+            return mean, var if any(ss > 0 for _, _, ss, _ in parts) else math.inf  # zeros alone tell nothing of the spread
 
         def width() -> tuple[float, float | None]:
             values = combined()
             if not values:
                 return 0.0, None
-            worst = max(values.values(), key=lambda v: v[names[0]][1])[names[0]]
-            return worst[0], None if math.isinf(worst[1]) else z * math.sqrt(worst[1])
+            known = [v[names[0]] for v in values.values() if not math.isinf(v[names[0]][1])]
+            if not known:
+                return max((v[names[0]][0] for v in values.values()), key=abs), None
+            worst = max(known, key=lambda v: v[1])
+            return worst[0], z * math.sqrt(worst[1])
 
         def enough() -> bool:
             for v in combined().values():
                 mean, var = v[names[0]]
                 if math.isinf(var) or z * math.sqrt(var) > (abs_error if abs_error is not None else rel_error * abs(mean)):
                     return False
-            return bool(phases) and (bool(combined()) or not by)
+            return bool(combined())
+
+        def unknown() -> bool:
+            """Whether a group (or all of the sample) has had no draw that counts."""
+            return any(math.isinf(v[names[0]][1]) for v in combined().values()) or not combined()
 
         def take(strata: list[Stratum], tag: str, phase: int) -> None:
             began = time.monotonic()
@@ -176,42 +195,51 @@ class OnlineAggregator:
 
         pilot = max(2, min(budget, n0 if conf.initial_phase_sample_size < 0 else conf.initial_phase_sample_size))
         cuts = allocate.cut_points(lo, hi, conf.dp_intervals_count)
-        began = time.monotonic()
-        whole = [Stratum(0, lo, hi, pilot)]
-        # the pilot's sums by cut cell give the phase and the prefix statistics in one job
-        step = F.lit(cuts[0])
-        drawn = sample(whole, "pilot").withColumn("__cell", F.floor((F.col("rank") - step) * (len(cuts) - 1) / F.lit(hi - lo)).cast("int"))
-        cells = stratum_stats(drawn, aggs, [*by, "__cell"]).collect()
-        merged: dict[tuple, dict] = {}
-        for r in cells:
-            key = (*(r[b] for b in by), r.stratum)
-            at = merged.setdefault(key, {b: r[b] for b in by} | {"stratum": r.stratum} | {f"{n}__{x}": 0.0 for n in names for x in ("s", "ss")})
-            for n in names:
-                at[f"{n}__s"] += r[f"{n}__s"] or 0.0
-                at[f"{n}__ss"] += r[f"{n}__ss"] or 0.0
-        phases.append(measure([_Row(m) for m in merged.values()], whole))
-        accepted = sum(r["__accepted_n"] or 0 for r in cells)
-        result.draws, result.accepted = pilot, accepted
-        result.rounds.append(Round(1, 1, pilot, accepted, *width(), time.monotonic() - began))
-        warn_rejections(accepted, pilot)
+        k = len(cuts) - 1
+        # prefix statistics watch the first aggregate over all groups, without the weight
+        m, sx, sxx = np.zeros(k), np.zeros(k), np.zeros(k)
+
+        def explore(n: int, tag: str, phase: int) -> None:
+            """Draws over the whole range: their sums by cut cell give the phase and the prefix statistics in one job."""
+            began = time.monotonic()
+            whole = [Stratum(0, lo, hi, n)]
+            drawn = sample(whole, tag).withColumn("__cell", F.floor((F.col("rank") - F.lit(cuts[0])) * k / F.lit(hi - lo)).cast("int"))
+            cells = stratum_stats(drawn, aggs, [*by, "__cell"]).collect()
+            merged: dict[tuple, dict] = {}
+            for r in cells:
+                key = (*(r[b] for b in by), r.stratum)
+                at = merged.setdefault(key, {b: r[b] for b in by} | {"stratum": r.stratum} | {f"{name}__{x}": 0.0 for name in names for x in ("s", "ss")})
+                for name in names:
+                    at[f"{name}__s"] += r[f"{name}__s"] or 0.0
+                    at[f"{name}__ss"] += r[f"{name}__ss"] or 0.0
+                c = min(max(r["__cell"], 0), k - 1)
+                sx[c] += (r[f"{names[0]}__s"] or 0.0) / (hi - lo)
+                sxx[c] += (r[f"{names[0]}__ss"] or 0.0) / (hi - lo) ** 2
+            m[:] += [n * (b - a) / (hi - lo) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            phases.append(measure([_Row(r) for r in merged.values()], whole))
+            accepted = sum(r["__accepted_n"] or 0 for r in cells)
+            result.draws += n
+            result.accepted += accepted
+            result.rounds.append(Round(phase, 1, n, accepted, *width(), time.monotonic() - began))
+
+        explore(pilot, "pilot", 1)
+        warn_rejections(result.accepted, pilot)
         small = conf.pswr_to_swr and pilot < SMALL_PILOT
         if small:
             strategy = result.strategy = "uniform"
-        # prefix statistics watch the first aggregate over all groups, without the weight
-        k = len(cuts) - 1
-        m = np.array([pilot * (b - a) / (hi - lo) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        sx, sxx = np.zeros(k), np.zeros(k)
-        for r in cells:
-            c = min(max(r["__cell"], 0), k - 1)
-            sx[c] += (r[f"{names[0]}__s"] or 0.0) / (hi - lo)
-            sxx[c] += (r[f"{names[0]}__ss"] or 0.0) / (hi - lo) ** 2
         stats = allocate.PrefixStats.from_cells(cuts, m, sx, sxx)
         phase, bad = 2, 0
         while not enough() and result.draws < budget and not all_equal:
+            left = budget - result.draws
+            if not sxx.any() and left >= 2:  # nothing met so far: no ground for strata
+                explore(min(max(2, conf.progressive_round_size), left), f"phase{phase}", phase)
+                stats = allocate.PrefixStats.from_cells(cuts, m, sx, sxx)
+                phase += 1
+                continue
             mean, last = width()
             target = abs_error if abs_error is not None else rel_error * abs(mean)
             strata = allocate.allocate(strategy, stats, min(conf.progressive_round_size, budget - result.draws), conf)
-            need = allocate.draws_needed(strata, stats, z, target)
+            need = left if unknown() else allocate.draws_needed(strata, stats, z, target)
             n = max(2 * len(strata), min(conf.progressive_round_size, need, budget - result.draws))
             strata = allocate.cap(allocate.allocate(strategy, stats, n, conf), budget - result.draws)
             strata = [s for s in strata if s.draws > 0]
@@ -234,7 +262,7 @@ class OnlineAggregator:
             _log.info("N=%d", result.draws)
         result.values = {g: {n: (v[n][0], None if math.isinf(v[n][1]) else z * math.sqrt(v[n][1])) for n in names} for g, v in combined().items()}
         if not by and not result.values:
-            result.values = {(): {n: (0.0, 0.0) for n in names}}
+            result.values = {(): {n: (0.0, None) for n in names}}
         return result
 
 
