@@ -11,19 +11,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge import tables
+from driftgauge.conf import AqpConf
 from driftgauge.operators import matches
 from driftgauge.operators.estimators import Agg, estimate, subsample_estimate
 from driftgauge.operators.rank_index import RankIndex, build_rank_index
 from driftgauge.operators.samplers import Stratum, scan_stratified, scan_uniform, swr, universe
+from driftgauge.streaming.online import OnlineAggregator
 
 #: Draws, seed and confidence of the registered walks; rates of the registered scans.
 DRAWS, SEED, CONFIDENCE = 4000, 7, 0.95
 UNIVERSE_RATE, SCAN_RATE = 0.3, 0.2
+#: The suite's progressive form is pswr(30000000, 100000, 0.05, 0.95); a round has so many draws at most.
+PSWR_BUDGET, PSWR_PILOT, PSWR_ERROR, PSWR_ROUND = 30_000_000, 100_000, 0.05, 1_000_000
 Z = "1.959963984540054"
 
 PARTSUPP = """
@@ -195,16 +200,21 @@ def walk_sample(spark: SparkSession, sf_dir: str, q: str, n: int, seed: int) ->
     """n draws of the driver, each joined with one match of every further table."""
     s = SPECS[q]
     idx = index(spark, sf_dir, s.driver, s.key)
-    sample = swr(idx, n, seed, s.key_range)
+    return walked(spark, sf_dir, q, swr(idx, n, seed, s.key_range), n, seed), [Stratum(0, *idx.bounds(s.key_range), n)]
+
+
+def walked(spark: SparkSession, sf_dir: str, q: str, sample: DataFrame, n: int, seed: int, tag: str = "") -> DataFrame:
+    """At most n draws of the driver, each joined with one match of every further table; ``tag`` tells phases apart."""
+    s = SPECS[q]
     for k, j in enumerate(s.walk):
         if j.many:
-            sample = matches.random_match(sample, j.left, index(spark, sf_dir, j.table, j.right), seed, f"match{k}", draws=n)
+            sample = matches.random_match(sample, j.left, index(spark, sf_dir, j.table, j.right), seed, f"{tag}match{k}", draws=n)
         else:
             right = table(spark, sf_dir, j.table)
             if j.alias:
                 right = right.select(*[F.col(c).alias(c.replace("n_", f"{j.alias}_", 1)) for c in right.columns])
             sample = matches.lookup(sample, right, list(zip(j.left.split(","), j.right.split(","), strict=True)), draws=n)
-    return matches.accept(sample, F.expr(s.walk_where)), [Stratum(0, *idx.bounds(s.key_range), n)]
+    return matches.accept(sample, F.expr(s.walk_where))
 
 
 def _walk_measure(m: str) -> str:
@@ -214,13 +224,29 @@ def _walk_measure(m: str) -> str:
 def walk(q: str, n: int = DRAWS, seed: int = SEED) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sample, strata = walk_sample(spark, sf_dir, q, n, seed)
-        aggs = {k: Agg("count_star") if m == "1" else Agg("sum", F.expr(_walk_measure(m))) for k, m in SPECS[q].measures.items()}
-        out = estimate(sample, strata, aggs, CONFIDENCE)
+        out = estimate(sample, strata, _walk_aggs(q), CONFIDENCE)
         return out.select(*[F.round(c, 2).alias(c) for c in out.columns])
 
     return run
 
 
+def _walk_aggs(q: str) -> dict[str, Agg]:
+    return {k: Agg("count_star") if m == "1" else Agg("sum", F.expr(_walk_measure(m))) for k, m in SPECS[q].measures.items()}
+
+
+def pswr(q: str, seed: int = SEED) -> Callable[[SparkSession, str], DataFrame]:
+    """The walk in rounds, until the first measure's half-width is 5 % or the suite's budget is spent (a loop, beyond SQL)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s, phase = SPECS[q], count()
+        agg = OnlineAggregator(index(spark, sf_dir, s.driver, s.key), AqpConf(progressive_round_size=PSWR_ROUND))
+        step = lambda drawn: walked(spark, sf_dir, q, drawn, PSWR_ROUND, seed, f"phase{next(phase)}|")
+        found = agg.run(_walk_aggs(q), PSWR_BUDGET, PSWR_PILOT, CONFIDENCE, rel_error=PSWR_ERROR, ranges={s.key: s.key_range}, seed=seed, extend=step)
+        return found.to_df(spark)
+
+    return run
+
+
 def u32_sql(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
@@ -372,6 +398,7 @@ x AS (SELECT k.*, c.taken / CAST(k.gsize AS DOUBLE) AS vprob, {part.replace('CAS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"tpch_{q}_exact": exact(q) for q in SPECS} | {f"tpch_{q}_walk": walk(q) for q in SPECS}
+    found |= {f"tpch_{q}_pswr": pswr(q) for q in SPECS}
     found |= {f"tpch_{q}_universe": universe_query(q) for q, s in SPECS.items() if s.universe}
     return found | {f"tpch_{q}_{'stratified' if st else 'uniform'}": scan_query(q, st) for q in SCANS for st in (False, True)}
 

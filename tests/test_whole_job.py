@@ -1,10 +1,14 @@
 """Places where a result was once less than the whole."""
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from driftgauge import tables
+from driftgauge.functions import compat
 from driftgauge.operators.estimators import approx_count, approx_sum
 from driftgauge.operators.rank_index import build_rank_index
+from driftgauge.plans import surface, tpch
 from driftgauge.plans.sqlfront import AqpSession
 from driftgauge.streaming.online import OnlineAggregator
 
@@ -45,3 +49,18 @@ def test_unmet_target_shows_in_sql(spark, rare):
     s.register("t", df, ["id"], [index])
     row = s.sql("SELECT approx_count(*) AS n, approx_count_star_half_ci(0.95) AS e FROM t TABLESAMPLE pswr(2000, 100, 0.05, 0.95) WHERE id < 0").first()
     assert (row["n"], row["e"]) == (0.0, None)
+
+
+@pytest.mark.parametrize("q", ["q7", "q17"])
+def test_progressive_suite_reaches_its_target(spark, q):
+    """A selective walk and one with several matches, against the exact sum."""
+    first = next(iter(tpch.SPECS[q].measures))
+    truth = tpch.exact(q)(spark, SF).first()[first]
+    row = tpch.queries()[f"tpch_{q}_pswr"](spark, SF).first()
+    half = row[f"{first}_half_ci"]
+    assert row["met"] and 100_000 <= row["draws"] <= tpch.PSWR_BUDGET
+    assert 0 < half <= 0.05 * row[first] and abs(row[first] - truth) < 2 * half
+
+
+def test_progressive_suite_is_registered():
+    assert {f"tpch_q{k}_pswr" for k in range(1, 23)} <= set(tpch.queries())
