@@ -64,3 +64,15 @@ def test_progressive_suite_reaches_its_target(spark, q):
 
 def test_progressive_suite_is_registered():
     assert {f"tpch_q{k}_pswr" for k in range(1, 23)} <= set(tpch.queries())
+
+
+def test_self_join_and_user_aggregate_are_whole(spark):
+    wide = SF.replace("0.001", "0.01")  # has order keys of 2000 and more
+    lines = tables.load(spark, wide, "lineitem").select("l_orderkey", "l_suppkey").toPandas()
+    sizes = lines.groupby("l_orderkey").size()
+    same = lines.groupby(["l_orderkey", "l_suppkey"]).size()
+    assert surface.queries()["sql_join_non_equi_term"](spark, wide).first()["n"] == (sizes**2).sum() - (same**2).sum()
+    expected: dict[int, int] = {}
+    for r in tables.load(spark, SF, "nation").orderBy("n_nationkey").collect():
+        expected[r.n_regionkey] = expected.get(r.n_regionkey, 0) * 31 + r.n_nationkey
+    assert {r.n_regionkey: r.h for r in surface.queries()["sql_user_aggregate"](spark, SF).collect()} == expected
