@@ -273,6 +273,11 @@ def lock_step(df: DataFrame, **arrays: Column) -> DataFrame:
     return df.select("*", F.explode(zipped).alias("__z")).select(*df.columns, *[F.col(f"__z.{n}").alias(n) for n in arrays])
 
 
+def rounded_bigint(expr: str) -> str:
+    """SQL text of a double's cast to bigint that rounds, ties to even; Spark's own cast truncates."""
+    return f"cast(rint({expr}) AS bigint)"
+
+
 def cbrt(col: Column) -> Column:
     return F.cbrt(col)
 

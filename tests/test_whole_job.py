@@ -76,3 +76,10 @@ def test_self_join_and_user_aggregate_are_whole(spark):
     for r in tables.load(spark, SF, "nation").orderBy("n_nationkey").collect():
         expected[r.n_regionkey] = expected.get(r.n_regionkey, 0) * 31 + r.n_nationkey
     assert {r.n_regionkey: r.h for r in surface.queries()["sql_user_aggregate"](spark, SF).collect()} == expected
+
+
+def test_casts_round_every_order(spark):
+    assert [r.i for r in spark.sql(f"SELECT {compat.rounded_bigint('x')} AS i FROM VALUES (0.5D), (1.5D), (2.5D), (-1.5D), (2.6D), (-2.6D), (1e15D) AS t(x)").collect()] == [0, 2, 2, -2, 3, -3, 10**15]
+    prices = {r.o_orderkey: r.o_totalprice for r in tables.load(spark, SF, "orders").collect()}
+    found = {r.o_orderkey: r.i for r in surface.queries()["sql_fn_casts"](spark, SF).collect()}
+    assert found == {k: round(p) for k, p in prices.items()}
