@@ -6,7 +6,8 @@ lexicon of frequent words. Weights of features and of transitions between
 languages are learned together by maximum likelihood; forward-backward gives
 each word the probability of each language given the whole text, so that a
 foreign stretch in a text is told from its neighbours. The text's language is
-that of the greatest mean probability, which is the score.
+that of the greatest mean probability, which is the score. Neighbouring words
+of one language are a span, with places in the text as it is given.
 
 Learned from ``per_language`` whole documents of each language at most (those
 of the smallest hash of ``doc_id`` outside the held-out quarter); every document
@@ -44,6 +45,16 @@ def word_features(word: str) -> list[str]:
     return ["=" + word, *["<" + word[:k] for k in (1, 2, 3) if k <= n], *[">" + word[-k:] for k in (1, 2, 3) if k <= n], *["~" + marked[i : i + k] for k in (1, 2, 3) for i in range(len(marked) - k + 1)]]
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Start and end, in ``text``, of the words of its lower case."""
+    low = text.lower()
+    found = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return found
+    owner = [k for k, c in enumerate(text) for _ in c.lower()]  # a letter may become two
+    return [(owner[a], owner[b - 1] + 1) for a, b in found]
+
+
 class Crf:
     """Weights and inference. ``index`` numbers the features, ``weights`` has a row for each."""
 
@@ -122,14 +133,13 @@ class Crf:
         logs = np.add.reduceat(np.log(scale) + top[:, 0], np.cumsum(lengths) - lengths)
         return out, expected, logs
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text."""
+    def inferred(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(numbers of texts, their lengths in words, probabilities of their words) in calls of bounded size; texts without a letter are left out."""
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
         # numerals such as superscripts are word characters, but no letters
         words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]
-        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.labels:
-            return out
+            return
         order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
         while order:
             part, held = [], 0
@@ -138,13 +148,31 @@ class Crf:
                 held += len(words[part[-1]])
             at = self.places([w for i in part for w in words[i]])
             lengths = np.array([len(words[i]) for i in part])
-            prob, _, _ = self.marginals(self.table[at], lengths)
+            yield part, lengths, self.marginals(self.table[at], lengths)[0]
+
+    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        for part, lengths, prob in self.inferred(texts):
             mean = np.add.reduceat(prob, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
             for i, row in zip(part, mean, strict=True):
                 best = int(row.argmax())
                 out[i] = self.labels[best], float(min(1.0, max(0.0, row[best])))
         return out
 
+    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+        """(start, end, language, mean probability) of each text's runs of words of one language."""
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+        for part, lengths, prob in self.inferred(texts):
+            begin = 0
+            for i, n in zip(part, lengths, strict=True):
+                rows = prob[begin : begin + n]
+                begin += n
+                best, at = rows.argmax(axis=1), word_places(texts[i])
+                cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), int(n)]
+                out[i] = [(at[a][0], at[b - 1][1], self.labels[best[a]], float(min(1.0, rows[a:b, best[a]].mean()))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
 
 def train(rows: list[tuple[str, str]], rounds: int = 15, rate: float = 0.5, decay: float = 1e-4, least_seen: int = 3, lexicon: int = 2000) -> Crf:
     """A model from (text, language) rows, by full-batch gradient steps with per-weight rates."""
@@ -220,6 +248,26 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text", row_id: str
     return plain.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", row_id)
 
 
+def label_spans(docs: DataFrame, model: Crf, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """(row_id, held_out, start, end, lang, probability): the spans of one language in every text; a map without a shuffle."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("probability", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[dict(zip(("start", "end", "lang", "probability"), s, strict=True)) for s in spans] for spans in model.spans(batch.column(2).to_pylist())]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, kind)], names=["id", "held_out", "spans"])
+
+    plain = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(held_out(row_id), F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
+    rows = plain.mapInArrow(run, "id long, held_out boolean, spans array<struct<start:int,end:int,lang:string,probability:double>>")
+    return rows.select(F.col("id").alias(row_id), "held_out", F.inline("spans"))
+
+
+def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of one language in every whole text of ``documents``."""
+    docs = common.documents(spark, sf_dir)
+    return label_spans(docs, fit(docs))
+
+
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text of ``documents``."""
     docs = common.documents(spark, sf_dir)
