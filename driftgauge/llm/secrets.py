@@ -35,7 +35,7 @@ HEX = r"[0-9a-f]{32,}"  # the maximal runs of 32 or more, as [0-9a-f]+ finds the
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: Weak candidates.
 WEAK_ID = r"""(?i)\b(?:client_?id|access_?id|access_?key_?id|account|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[0-9+/_=a-z-]{0,60}[A-Z])(?=[0-9+/_=A-Z-]{0,60}[a-z])[A-Za-z0-9+/_=-]{20,}"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=a-z-]*+[A-Z])(?=[0-9+/_=A-Z-]*+[a-z])[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"""(?i)\b(?:[a-z][a-z0-9+.-]{1,10}://[^\x20\x09-\x0D"'<>]{3,}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)"""
 #: Kinds in the order in which equal starts are listed, and what each stands for.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")

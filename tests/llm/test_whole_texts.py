@@ -3,9 +3,10 @@
 import random
 
 from llm_tables import table
+from pyspark.sql import functions as F
 from test_corpus import PARTS, sentence
 
-from driftgauge.llm import language
+from driftgauge.llm import language, secrets
 
 
 def test_spans_of_code_switching(spark):
@@ -22,3 +23,13 @@ def test_spans_of_code_switching(spark):
     covered = lambda lang, lo, hi: sum(max(0, min(hi, r[3]) - max(lo, r[2])) for r in mixed if r[4] == lang)
     assert covered("en", 0, border) > 0.8 * len(first) and covered("fr", border, len(text)) > 0.8 * len(second)
     assert mixed[-1][3] == len(text) - 1  # the last word ends before the full stop
+
+
+def test_long_weak_secret_is_linked(spark):
+    """The first digit, capital or small letter of a token may come late."""
+    for token in ("q" * 80 + "R1" + "s" * 10, "Q" * 70 + "r" + "9" * 8, "7_" * 45 + "xY", "q" * 100_000 + "R1"):
+        text = f"client_id: someone {token} end"
+        start = text.index(token)
+        spans = secrets.scan(table(spark, [(1, text)])).select(secrets.listed(F.col("__spans"))).first()[0]
+        assert f"linked_secret:{start}:{start + len(token)}" in spans.split(",")
+        assert token not in secrets.redact(table(spark, [(1, text)])).first().text
