@@ -4,8 +4,8 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-SF = "/root/testdata/sf0.001"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
@@ -22,6 +22,7 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from engine_tables import SF
 
     con = duckdb.connect()
     for name in os.listdir(SF):

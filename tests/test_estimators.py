@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import SF
+from engine_tables import SF
 from pyspark.sql import functions as F
 
 from driftgauge import tables

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import SF
+from engine_tables import SF
 
 from driftgauge.plans import surface, templates, tpch, workload
 

@@ -1,7 +1,7 @@
 """Places where a result was once less than the whole."""
 
 import pytest
-from conftest import SF
+from engine_tables import SF
 from pyspark.sql import functions as F
 
 from driftgauge import tables
