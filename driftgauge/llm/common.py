@@ -127,11 +127,16 @@ class BoundedCache(dict):
     what the emptying gets rid of.
     """
 
+    #: Longer keys are not kept, so that a number of keys bounds the bytes too.
+    LONGEST = 128
+
     def __init__(self, limit: int):
         super().__init__()
         self.limit = limit
 
-    def put(self, key, value) -> None:
+    def put(self, key: str | bytes, value) -> None:
+        if len(key) > self.LONGEST:
+            return
         if len(self) >= self.limit:
             self.clear()
         self[key] = value

@@ -31,8 +31,8 @@ def units(text: str) -> tuple[str, list[str]]:
 _WS = np.zeros(256, bool)
 _WS[[*range(9, 14), *range(28, 33)]] = True
 _RANDOM = np.random.default_rng(5_880_131)
-#: Two hashes of a piece: a random value for each byte, and an odd multiplier with its inverse modulo 2^64.
-_HASHES = [(_RANDOM.integers(0, 1 << 64, 256, np.uint64), m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+#: The hash of a piece: a random value for each byte, and an odd multiplier modulo 2^64.
+_VALUES, _MULTIPLIER = _RANDOM.integers(0, 1 << 64, 256, np.uint64), 0x9E3779B97F4A7C15
 
 
 _known_powers: dict[int, np.ndarray] = {}
@@ -46,69 +46,100 @@ def _powers(m: int, n: int) -> np.ndarray:
     return known[: n + 1]
 
 
-def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of each byte range, from prefix sums over all of them."""
-    out = []
-    for table, m in _HASHES:
-        up, down = _powers(m, len(data)), _powers(pow(m, -1, 1 << 64), len(data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * up[:-1])])
-        out.append((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return out
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, from prefix sums over all of them."""
+    up, down = _powers(_MULTIPLIER, len(data)), _powers(pow(_MULTIPLIER, -1, 1 << 64), len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[:-1])])
+    return (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Tape:
+    """Arrays appended end to end."""
+
+    def __init__(self, kind: type):
+        self.values, self.used = np.empty(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> int:
+        """Append; the place where it went."""
+        at, self.used = self.used, self.used + len(more)
+        if self.used > len(self.values):
+            self.values = np.concatenate([self.values[:at], np.empty(max(len(more), at), self.values.dtype)])
+        self.values[at : self.used] = more
+        return at
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of every span, end to end."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
 class PieceTable:
-    """What pieces encode to, in arrays: sorted hashes, and ids end to end.
+    """What pieces encode to: sorted hashes, and the bytes and ids of their pieces end to end.
 
-    A piece is known by two 64-bit hashes. The table has a bound and starts
-    anew when it is full.
+    A hash only finds a candidate: the bytes of every occurrence are compared
+    with the candidate's, and a piece that shares its hash with another is
+    encoded on its own. The table is bounded in pieces and in bytes, and
+    starts anew when it is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 2_000_000):
-        self.encode, self.limit = encode, limit
+    #: Bytes of text that are looked up together.
+    BLOCK = 4 << 20
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 2_000_000, byte_limit: int = 48 << 20):
+        self.encode, self.limit, self.byte_limit = encode, limit, byte_limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-
-    def _append(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.fromiter(map(len, lists), np.int32, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(flat), self.used), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size, dtype=np.int64) - size
-        self.used += len(flat)
-        return at, size
+        self.keys = np.empty(0, np.uint64)
+        #: For each key: place and number of ids, place and number of bytes.
+        self.rows = np.empty((4, 0), np.int64)
+        self.tape, self.text = _Tape(np.uint32), _Tape(np.uint8)
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.encode([data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = self.tape.add(np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum())))
+        return at + np.cumsum(size) - size, size
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, number) of the ids of each byte range."""
-        if len(self.keys) > self.limit:
+        """Ids of all byte ranges end to end, and how many each has."""
+        blocks = np.flatnonzero(np.diff((ends - starts[0]) // self.BLOCK)) + 1
+        found = []
+        for lo, hi in zip([0, *blocks.tolist()], [*blocks.tolist(), len(starts)], strict=True):
+            base = starts[lo]
+            found.append(self._lookup(data[base : ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > self.limit or self.text.used > self.byte_limit:
             self.clear()
-        key, check = piece_hashes(data, starts, ends)
-        unique, first, which = np.unique(key, return_index=True, return_inverse=True)
-        if (check[first][which] != check).any():  # two pieces of one hash: each for itself
-            unique, first, which = key, np.arange(len(key)), np.arange(len(key))
-            place = np.full(len(key), len(self.keys))
-            known = np.zeros(len(key), bool)
-        else:
-            place = np.searchsorted(self.keys, unique)
-            inside = np.minimum(place, max(len(self.keys) - 1, 0))
-            known = np.zeros(len(unique), bool) if not len(self.keys) else (self.keys[inside] == unique) & (self.checks[inside] == check[first])
-        at, size = np.empty(len(unique), np.int64), np.empty(len(unique), np.int32)
-        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        lengths = ends - starts
+        unique, first, which = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
+        rows = np.empty((4, len(unique)), np.int64)
+        rows[:, known] = self.rows[:, place[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            at[new], size[new] = self._append(self.encode(texts))
-            fresh = new if not len(self.keys) else new[self.keys[np.minimum(place[new], len(self.keys) - 1)] != unique[new]]
-            if len(unique) == len(key) and len(fresh) and len(np.unique(unique[fresh])) != len(fresh):
-                fresh = fresh[:0]
-            self.keys, self.checks = np.insert(self.keys, place[fresh], unique[fresh]), np.insert(self.checks, place[fresh], check[first[fresh]])
-            self.at, self.size = np.insert(self.at, place[fresh], at[fresh]), np.insert(self.size, place[fresh], size[fresh])
-        return at[which], size[which]
+            a, n = starts[first[new]], lengths[first[new]]
+            rows[0, new], rows[1, new] = self._encode(data, a, a + n)
+            rows[2, new], rows[3, new] = self.text.add(data[_spans(a, n)]) + np.cumsum(n) - n, n
+            self.keys, self.rows = np.insert(self.keys, place[new], unique[new]), np.insert(self.rows, place[new], rows[:, new], axis=1)
+        at, size, origin, long = rows[:, which]
+        same = long == lengths
+        sure = np.flatnonzero(same)
+        if len(sure):
+            n = lengths[sure]
+            equal = data[_spans(starts[sure], n)] == self.text.values[_spans(origin[sure], n)]
+            if not equal.all():
+                same[sure] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        other = np.flatnonzero(~same)
+        if len(other):
+            at[other], size[other] = self._encode(data, starts[other], ends[other])
+        return self.tape.values[_spans(at, size)], size
 
 
 def _tangled(data: np.ndarray, bounds: np.ndarray, special: list[bytes]) -> np.ndarray:
@@ -155,9 +186,8 @@ def encode_texts(texts: list[bytes], table: PieceTable, whole: Callable[[str], l
     starts, ends, owner = starts[keep], ends[keep], owner[keep]
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
     if len(starts):
-        at, size = table.lookup(data, starts, ends)
-        total = np.cumsum(size, dtype=np.int64)
-        flat = table.ids[np.repeat(at - (total - size), size) + np.arange(total[-1])]
+        flat, size = table.lookup(data, starts, ends)
+        total = np.cumsum(size)
         last = np.searchsorted(owner, np.arange(len(texts)), side="right")
         cut = np.concatenate([[0], total])[last]
         for i, (a, b) in enumerate(zip(np.concatenate([[0], cut[:-1]]).tolist(), cut.tolist(), strict=True)):

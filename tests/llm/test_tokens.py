@@ -3,6 +3,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -46,12 +47,36 @@ def test_piece_table_starts_anew_and_survives_collisions(monkeypatch):
     for _ in range(3):
         assert [g.tolist() for g in units.encode_texts([t.encode() for t in texts], small, ids_of, [])] == [ids_of(t) for t in texts]
     real = units.piece_hashes
-    monkeypatch.setattr(units, "piece_hashes", lambda d, s, e: [real(d, s, e)[0] % 2, real(d, s, e)[1]])
+    monkeypatch.setattr(units, "piece_hashes", lambda d, s, e: real(d, s, e) % 2)
     clash = units.PieceTable(encode)
     for _ in range(2):
         assert [g.tolist() for g in units.encode_texts([t.encode() for t in texts], clash, ids_of, [])] == [ids_of(t) for t in texts]
 
 
+def test_pieces_of_one_hash_are_told_apart():
+    """Thue-Morse words and their complements share every polynomial hash modulo 2^64 with an odd multiplier."""
+    for n in (10, 11, 12):
+        bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+        pair = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+        starts = np.array([0, 1 << n])
+        hashes = units.piece_hashes(np.frombuffer("".join(pair).encode(), np.uint8), starts, starts + (1 << n))
+        assert hashes[0] == hashes[1]
+        want = [ids_of(t) for t in pair]
+        for both, order in ((pair, want), (pair[::-1], want[::-1])):
+            raw = [t.encode() for t in both]
+            for encoder in (token_store.IdEncoder("byte_bpe_50k.json"), bpe.SegmentTreeBpe("byte_bpe_50k.json").ids):
+                assert [g.tolist() for g in encoder(raw)] == order
+                assert [g.tolist() for x in raw for g in encoder([x])] == order
+
+
+def test_blocks_of_pieces(monkeypatch):
+    monkeypatch.setattr(units.PieceTable, "BLOCK", 16)
+    table_ = units.PieceTable(lambda ts: [ids_of(t) for t in ts], byte_limit=64)
+    texts = ["some words " * 20, "x", "", "averyveryverylongwordwithoutanyspaces in the middle", "some other words"]
+    for _ in range(2):
+        assert [g.tolist() for g in units.encode_texts([t.encode() for t in texts], table_, ids_of, [])] == [ids_of(t) for t in texts]
+
+
 def test_special_text_and_long_words():
     ours = bpe.SegmentTreeBpe.shared("byte_bpe_50k.json")
     for text in ("x<|endoftext|> y", "ab" * 3000, "é" * 500):
