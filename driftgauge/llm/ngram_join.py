@@ -1,42 +1,47 @@
 """Exact Jaccard join of documents on word shingles, in the Jaccard metric space.
 
-Two levels of pivots cut the space into regions.
-
-*Shingle pivots.* The singleton {s} is at distance 1 - 1/|x| from a document x
-that holds the shingle s, and at distance 1 from any other. With a fixed order
-of shingles to break ties, a document's nearest pivot is its first shingle.
-By the triangle inequality on symmetric differences, a document within the
-wanted distance lacks few of x's shingles, so that its first common shingle
-with x is among the first |x| - ceil(t |x|) + 1 of x: the window of regions to
-which x is replicated. A pair that meets in c regions is let through only if
-the shingles that the smaller window leaves unmatched fit into the distance;
-exact sets decide the rest.
-
-*Crowded pivots* hold more than ``CROWD`` different documents (a licence line, a
-passage many share). They come last in the order, so that only documents made
-of little else keep them in their windows. Those few, the *crowd*, fall into
-cells that share no window shingle and are joined by document pivots:
-each document goes to the Voronoi region of its nearest pivot, is replicated to
-every region whose pivot is at most twice the wanted distance further away, and
-regions are cut again until they are small or stop shrinking; then sets are
-compared. A cell larger than ``CHUNK`` documents is joined in chunks; then
-only what is outside the largest component meets all chunks, for members of one
-component need no further comparison.
-
-Links are between different shingle sets; documents with equal sets are one
-class. Components are found in Spark (:mod:`driftgauge.llm.components`).
-
-Shingles are 63-bit hashes of five words; in one document or pair that a
-collision changes anything is out of practical question. Words are lower-cased
-in A-Z only. Null or wordless text has no shingles and no links. A row with a
-null id gets its size and no component. Rows that share an id count as one
-document. Texts are never cut and no partner is dropped.
+Documents with equal shingle sets are one class, found by 128-bit digests; what
+follows joins one document of each class, its *head*.
+
+*Neighbourhoods.* Nearly all documents of a corpus are at distance 1 from each
+other, so that no choice of pivot documents cuts it: all but a few would go
+to the far region of any. The documents that may be within reach are therefore
+found by shingles first. With a fixed order of shingles a document
+within the wanted distance of x shares one of the first |x| - ceil(t |x|) + 1 of
+x; a pair that shares c of them is let through only if what the smaller window
+leaves unmatched fits into the distance.
+
+*Pivots of neighbourhoods.* A document's pivot is the first of its neighbours.
+Distances to pivots are taken first; two documents of one pivot need no
+comparison if both are linked with it, or if their distances to it differ by
+more than the wanted distance (triangle inequality). Exact sets decide the rest.
+
+*Crowded shingles* are held by more than ``CROWD`` heads (a licence line, a passage
+many share, a text with very many near copies). They come last in the order,
+so that only documents made of little else keep them in their windows.
+Those, the *crowd*, are near many others, which is where pivots cut well:
+they fall into cells that share no window shingle, and cells are cut into Voronoi
+regions of pivot documents, recursively and over the cluster
+(:mod:`driftgauge.llm.voronoi`).
+
+Components are found in Spark (:mod:`driftgauge.llm.components`).
+
+Shingles are 63-bit hashes of five words. A result changes only where two
+shingles of one document, or of one compared pair, have the same hash: for
+documents of 300 words about 10^-14 a pair, so 10^-3 over 10^11 compared pairs.
+Words are lower-cased in A-Z only. Null or wordless text has no shingles and no
+links. A row with a null id gets its size and no component. Rows that share an
+id, whatever their texts, are one document for the components: each text's links
+are its links. An empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,15 +51,12 @@ from pyspark.sql import functions as F
 
 from driftgauge.llm import common
 from driftgauge.llm.components import connected_components
+from driftgauge.llm.voronoi import Threshold, region_links
 
-#: Shingle pivots with more documents than this are crowded.
+#: Shingles that more heads than this hold are crowded.
 CROWD = 16
-#: Documents of a cell that one task compares with each other, and probes that it compares with them.
-CHUNK, BLOCK = 3000, 3000
-#: Documents whose shingles a task holds at once.
+#: Documents whose shingles a task holds at once: a bound of memory, without influence on results.
 PART = 10_000
-#: Regions this small are compared directly.
-LEAF = 256
 #: Share of the hash space whose shingles a document of up to so many shingles emits.
 ZONES = ((100, 1.0), (400, 0.6), (1500, 0.3), (math.inf, 0.25))
 _TOP = float(1 << 63)
@@ -108,49 +110,44 @@ class Shingler:
         return np.unique((h >> np.uint64(1)).astype(np.int64))
 
 
-class Threshold:
-    """Similarity of ``percent`` / 100, in integers."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-
-    def window(self, n):
-        """Length of the window of a set of n shingles."""
-        return n + (-n * self.percent) // 100 + 1
-
-    def overlap(self, a, b):
-        """Least common shingles of linked sets of sizes a and b."""
-        return -((-self.percent * (a + b)) // (100 + self.percent))
-
-    def linked(self, common_, a, b):
-        return 100 * common_ >= self.percent * (a + b - common_)
-
-
 def _lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def zone_table(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """One row per document: id, n, cls (digest of the set), limit, and the shingles of its zone.
+    """One row per document: row id, doc, n, the set's digest (hi, lo), limit, and the shingles of its zone.
 
     ``limit`` counts the zone's shingles that every possible partner emits too.
-    A task emits equal sets once. Shingles that more than ``CROWD`` different
-    documents of a batch hold are crowded for certain; they leave the zone for
-    ``crowded`` (shingle, place) and are announced in ``marks``.
+    A task emits equal sets once (``emitted``). Shingles that more than ``CROWD``
+    different documents of a batch hold are crowded for certain; they leave
+    the zones of this and all later batches of the task for ``crowded`` (their
+    places) and are announced once in ``marks``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         shingle, known = Shingler.shared(width), common.BoundedCache(250_000)
+        rid, marked = TaskContext.get().partitionId() << 36, np.empty(0, np.int64)
         for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
-            ids = batch.column(0)
-            ns, digests, limits, zones = [], [], [], []
+            ids, size = batch.column(0), batch.num_rows
+            if not size:
+                continue
+            ns, his, los, limits, zones, emitted = [], [], [], [], [], []
             for doc_id, text in zip(ids.to_pylist(), batch.column(1), strict=True):
                 s = shingle(text.as_py())
                 n = len(s)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n and doc_id is not None else None
                 ns.append(n)
-                digests.append(digest)
-                if digest is None or digest in known:
+                digest = _digest(s) if n and doc_id is not None else None
+                hi, lo = struct.unpack("<qq", digest) if digest else (None, None)
+                his.append(hi)
+                los.append(lo)
+                emitted.append(digest is not None and digest not in known)
+                if not emitted[-1]:
                     limits.append(0)
                     zones.append(s[:0])
                     continue
@@ -159,69 +156,107 @@ def zone_table(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
                 z = s if share == 1 else s[: np.searchsorted(s, np.int64(share * _TOP))]
                 limits.append(len(z) if sure == 1 else int(np.searchsorted(z, np.int64(sure * _TOP))))
                 zones.append(z)
-            every = np.concatenate(zones) if zones else np.empty(0, np.int64)
+            every = np.concatenate(zones)
             values, counts = np.unique(every, return_counts=True)
-            hot = values[counts > CROWD]
+            hot = np.setdiff1d(values[counts > CROWD], marked, assume_unique=True)
+            marked = np.union1d(marked, hot)
             lengths = [len(z) for z in zones]
-            place = np.arange(len(every)) - np.repeat(np.cumsum([0, *lengths[:-1]]) if lengths else [], lengths).astype(np.int64)
-            is_hot = np.isin(every, hot)
-            owner = np.repeat(np.arange(len(zones)), lengths)
-            count = lambda mask: np.bincount(owner[mask], minlength=len(zones)).tolist() if len(zones) else []  # noqa: E731, B023
-            marks = _lists(hot, [len(hot), *[0] * (len(zones) - 1)]) if len(zones) else pa.array([], pa.list_(pa.int64()))
+            place = np.arange(len(every)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths).astype(np.int64)
+            is_hot = np.zeros(len(every), bool) if not len(marked) else marked[np.minimum(np.searchsorted(marked, every), len(marked) - 1)] == every
+            owner = np.repeat(np.arange(size), lengths)
+            count = lambda mask: np.bincount(owner[mask], minlength=size).tolist()  # noqa: E731, B023
             cool, warm = count(~is_hot), count(is_hot)
-            yield pa.record_batch(
-                [ids, pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.array(limits, pa.int32()), _lists(every[~is_hot], cool), _lists(place[~is_hot].astype(np.int32), cool), _lists(place[is_hot].astype(np.int32), warm), marks],
-                names=["doc", "n", "cls", "limit", "zone", "places", "crowded", "marks"],
-            )
+            columns = [
+                pa.array(np.arange(rid, rid + size)), ids, pa.array(ns, pa.int32()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(emitted), pa.array(limits, pa.int32()),
+                _lists(every[~is_hot], cool), _lists(place[~is_hot].astype(np.int32), cool), _lists(place[is_hot].astype(np.int32), warm), _lists(hot, [len(hot), *[0] * (size - 1)]),
+            ]
+            rid += size
+            yield pa.record_batch(columns, names=["rid", "doc", "n", "hi", "lo", "emitted", "limit", "zone", "places", "crowded", "marks"])
+
+    return docs.mapInArrow(run, "rid long, doc long, n int, hi long, lo long, emitted boolean, limit int, zone array<long>, places array<int>, crowded array<int>, marks array<long>")
+
+
+def _holders(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (h, hi, lo, rid, at): those of shingles that two or more classes hold, with ``hot``.
 
-    return docs.mapInArrow(run, "doc long, n int, cls binary, limit int, zone array<long>, places array<int>, crowded array<int>, marks array<long>")
+    A row of each class is kept, that of its smallest row id. ``at`` is n and
+    place in one number, negative for a mark. Of a run that goes on in the next
+    batch no more than ``crowd`` rows are held back: beyond, it is crowded.
+    """
+    held: list[np.ndarray] | None = None
+    hot_h, last = None, None
+
+    def emit(cols: list[np.ndarray], hot: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+        h, hi, lo, rid, at = (c[kept] for c in cols)
+        return pa.record_batch([pa.array(h), pa.array(hi), pa.array(lo), pa.array(rid), pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.int32)), pa.array(hot[kept])], names=["h", "hi", "lo", "rid", "n", "place", "hot"])
 
+    def decide(cols: list[np.ndarray], open_: bool) -> tuple[np.ndarray, np.ndarray, int]:
+        """(hot, kept) of the rows before the last run, or before the end; where it starts."""
+        h, at = cols[0], cols[4]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[start, len(h)])
+        hot = (np.maximum.reduceat((at < 0).astype(np.int8), start) > 0) | (size > crowd) | ((h[start] == hot_h) if hot_h is not None else False)
+        end = int(start[-1]) if open_ and not hot[-1] else len(h)
+        kept = np.repeat((size > 1) | hot, size) & (at >= 0)
+        kept[end:] = False
+        return np.repeat(hot, size), kept, end
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted rows, cut so that no run of equal first values is divided."""
-    held: list[list[np.ndarray]] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
-        if last == 0 and held and held[-1][0][-1] == cols[0][0]:
-            held.append(cols)
-            continue
-        if last == 0 and not held:
-            held = [cols]
+        if held is not None:
+            cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+        if not len(cols[0]):
             continue
-        yield [np.concatenate([h[i] for h in held] + [c[:last]]) for i, c in enumerate(cols)]
-        held = [[c[last:] for c in cols]]
-    if held:
-        yield [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
+        first = np.r_[last is None or last != tuple(int(c[0]) for c in cols[:3]), np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])]
+        last_now = tuple(int(c[-1]) for c in cols[:3])
+        cols = [c[first] for c in cols]
+        if len(cols[0]):
+            hot, kept, end = decide(cols, True)
+            if kept.any():
+                yield emit(cols, hot, kept)
+            hot_h = int(cols[0][-1]) if hot[-1] else None
+            held = [c[end:] for c in cols] if end < len(cols[0]) else None
+        # rows held back come again with the next batch, so that it compares with them
+        last = last_now if held is None else None
+    if held is not None:
+        hot, kept, _ = decide(held, False)
+        if kept.any():
+            yield emit(held, hot, kept)
 
 
 def meetings(zones: DataFrame, partitions: int) -> DataFrame:
-    """(h, doc, cls, n, place, hot) of the shingles that two or more different documents hold, one row for equal sets."""
-    cls = F.xxhash64("cls")
-    own = zones.select("doc", "n", cls.alias("cls"), F.explode(F.arrays_zip("zone", "places")).alias("e")).select(F.col("e.zone").alias("h"), "doc", "cls", F.col("n").cast("long").alias("n"), F.col("e.places").cast("long").alias("place"))
-    marks = zones.where(F.size("marks") > 0).select(F.explode("marks").alias("h"), F.lit(-1).cast("long").alias("doc"), F.lit(0).cast("long").alias("cls"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("place"))
-    rows = own.union(marks).repartition(partitions, "h").sortWithinPartitions("h", "cls", "doc")
+    """(h, hi, lo, rid, n, place, hot) of the shingles that two or more classes hold or that are crowded."""
+    least = F.lit(-(1 << 63)).cast("long")
+    own = zones.select("rid", "hi", "lo", "n", F.explode(F.arrays_zip("zone", "places")).alias("e"))
+    own = own.select(F.col("e.zone").alias("h"), "hi", "lo", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("e.places")).alias("at"))
+    marks = zones.where(F.size("marks") > 0).select(F.explode("marks").alias("h"), least.alias("hi"), least.alias("lo"), F.lit(-1).cast("long").alias("rid"), F.lit(-1).cast("long").alias("at"))
+    rows = own.union(marks).repartition(partitions, "h").sortWithinPartitions("h", "hi", "lo", "rid")
+    crowd = CROWD
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, doc, cls, n, place in _runs(batches):
-            first = np.r_[True, (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])]
-            h, doc, cls, n, place = (c[first] for c in (h, doc, cls, n, place))
-            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            size = np.diff(np.r_[start, len(h)])
-            marked = np.maximum.reduceat((place < 0).astype(np.int8), start) > 0
-            hot = np.repeat(marked | (size > CROWD), size)
-            kept = (np.repeat(size > 1, size) | hot) & (place >= 0)
-            if kept.any():
-                yield pa.record_batch([pa.array(h[kept]), pa.array(doc[kept]), pa.array(cls[kept]), pa.array(n[kept].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(hot[kept])], names=["h", "doc", "cls", "n", "place", "hot"])
+        return _holders(batches, crowd)
 
-    return rows.mapInArrow(scan, "h long, doc long, cls long, n int, place int, hot boolean")
+    return rows.mapInArrow(scan, "h long, hi long, lo long, rid long, n int, place int, hot boolean")
 
 
 def _pairs_of_runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of each run of equal shingles whose sizes can link and which are not both of the crowd."""
-    for h, doc, n, crowd in _runs(batches):
+    """Pairs (a < b) of each run of equal shingles, at most ``CROWD`` long, whose sizes can link and which are not both of the crowd."""
+    held: list[np.ndarray] | None = None
+    for batch in itertools.chain(batches, [None]):
+        cols = held
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+        if cols is None:
+            return
+        end = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))
+        held = [c[end:] for c in cols]
+        h, doc, n, crowd = (c[:end] for c in cols)
+        if not end:
+            continue
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[start, len(h)])
         out = []
@@ -239,141 +274,71 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             yield pa.record_batch([pa.array(c) for c in (doc[i], doc[j], n[i], n[j], crowd[i], crowd[j])], names=["a", "b", "na", "nb", "ca", "cb"])
 
 
-def candidate_pairs(met: DataFrame, zones: DataFrame, threshold: Threshold, partitions: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare that are not both of the crowd, and the ids of the crowd."""
-    # by class, as equal sets of several tasks are one document here
-    cls = F.xxhash64("cls").alias("cls")
-    early = zones.where(F.size("crowded") > 0).select(cls, F.explode("crowded").alias("place"))
-    hot = early.union(met.where("hot").select("cls", "place")).groupBy("cls").agg(F.collect_set("place").alias("hot"))
-    base = zones.where("emitted").groupBy(cls).agg(F.first("n").alias("size"), F.first("limit").alias("limit"), F.min("doc").alias("head"))
+def candidate_pairs(met: DataFrame, heads: DataFrame, threshold: Threshold, partitions: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of heads to compare that are not both of the crowd, and the heads of the crowd."""
+    # a crowded place was either left out by the head's own batch or met as crowded
+    late = met.where("hot").groupBy("hi", "lo").agg(F.collect_set("place").alias("late"))
     window = lambda n: F.expr(f"{n} - cast(ceil({n} * {threshold.percent} / 100) as int) + 1")
+    hot = F.array_union("crowded", F.coalesce("late", F.array().cast("array<int>")))
+    state = heads.join(late, ["hi", "lo"], "left").select("rid", "n", "limit", hot.alias("hot"))
     sure = F.col("limit") - F.size(F.filter("hot", lambda x: x < F.col("limit")))
-    state = base.join(hot, "cls", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<int>"))).select("cls", "hot", "head", (sure < window("size")).alias("crowd"))
+    state = state.select("rid", "hot", (sure < window("n")).alias("crowd"))
     state = common.materialize(state.where((F.size("hot") > 0) | F.col("crowd")), "join-state")
-    rest = met.where("not hot").drop("hot").join(state, "cls", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    rest = met.where("not hot").select("h", "rid", "n", "place").join(state, "rid", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     rank = F.col("place") - F.when(F.col("hot").isNull(), 0).otherwise(F.size(F.filter("hot", lambda x: x < F.col("place"))))
-    inside = rest.where(F.col("crowd") | (rank < window("n"))).select("h", "doc", "n", "crowd")
-    rows = inside.repartition(partitions, "h").sortWithinPartitions("h", "doc")
-    percent = threshold.percent
+    inside = rest.where(F.col("crowd") | (rank < window("n"))).select("h", "rid", "n", "crowd")
+    rows = inside.repartition(partitions, "h").sortWithinPartitions("h", "rid")
+    t = threshold.percent
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs_of_runs(batches, percent)
+        return _pairs_of_runs(batches, t)
 
     pairs = rows.mapInArrow(meet, "a long, b long, na int, nb int, ca boolean, cb boolean")
-    t = threshold.percent
     counted = pairs.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("c"))
     need = f"cast(ceil({t} * (na + nb) / {100 + t}) as int)"
     side = lambda n, c: f"(not {c} and {n} - cast(ceil({n} * {t} / 100) as int) + 1 - c <= {n} - {need})"
-    return counted.where(f"{side('na', 'ca')} or {side('nb', 'cb')}").select("a", "b"), state.where("crowd").select(F.col("head").alias("doc"))
+    return counted.where(f"{side('na', 'ca')} or {side('nb', 'cb')}").select("a", "b"), state.where("crowd").select("rid")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, shingles) of the wanted ids; their texts are shuffled, others stay."""
+    """(rid, shingles) of the wanted rows (rid, doc, hi, lo); their texts are shuffled, others stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler.shared(width)
         for batch in batches:
-            sets = [shingle(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), _lists(np.concatenate(sets) if sets else np.empty(0, np.int64), [len(s) for s in sets])], names=["doc", "shingles"])
-
-    return docs.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, shingles array<long>").dropDuplicates(["doc"])
-
-
-class Cell:
-    """Links among documents of one task, by document pivots."""
-
-    def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: Threshold):
-        self.ids, self.sets, self.t = ids, sets, threshold
-        self.sizes = np.array([len(s) for s in sets])
-        self.parent = list(range(len(ids)))
-        values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-        _, code = np.unique(values, return_inverse=True)
-        self.codes = np.split(code, np.cumsum(self.sizes)[:-1])
-        self.mask = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def common(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Common shingles of i with each of the others."""
-        self.mask[self.codes[i]] = True
-        lengths = self.sizes[others]
-        hits = self.mask[np.concatenate([self.codes[j] for j in others])]
-        self.mask[self.codes[i]] = False
-        return np.add.reduceat(hits.astype(np.int32), np.r_[0, np.cumsum(lengths)[:-1]])
-
-    def link(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Link i with the others within reach; the distances."""
-        c = self.common(i, others)
-        n = self.sizes[i]
-        for j in others[self.t.linked(c, n, self.sizes[others])]:
-            self.parent[self.root(int(j))] = self.root(i)
-        return 1 - c / (n + self.sizes[others] - c)
-
-    def compare(self, region: np.ndarray) -> None:
-        """Compare a small region; members of one component are not compared again."""
-        for k, i in enumerate(region[:-1]):
-            rest = region[k + 1 :]
-            mine = self.root(int(i))
-            rest = rest[[self.root(int(j)) != mine for j in rest]]
-            if len(rest):
-                self.link(int(i), rest)
-
-    def join(self, region: np.ndarray, depth: int = 0) -> None:
-        """Voronoi regions of document pivots, replicated over windows of twice the distance, joined recursively."""
-        if len(region) <= LEAF or depth > 20:
-            return self.compare(region)
-        k = min(8, len(region) // LEAF + 1)
-        pivots = region[np.linspace(0, len(region) - 1, k).astype(int)]
-        far = np.stack([self.link(int(p), region) for p in pivots])
-        near, slack = far.min(axis=0), 2 * (1 - self.t.percent / 100) + 1e-9
-        # 1 is the greatest distance: such documents share nothing with the pivot, nor do partners of theirs come near it
-        reach = 1 - self.t.percent / 100 + 1e-9
-        own = far.argmin(axis=0)
-        parts = []
-        for j in range(k):
-            held = (own == j) | ((far[j] <= near + slack) & (far[j] <= 1 - 1e-12))
-            parts.append(region[held & ~(far[j] >= 1 - 1e-12)])
-        # whoever is farther than 1 - reach from its nearest pivot may have partners at distance 1 from all of them
-        parts.append(region[near >= 1 - reach])
-        for part in parts:
-            if len(part) > 0.9 * len(region):
-                self.compare(part)
-            elif len(part) > 1:
-                self.join(part, depth + 1)
-
-    def labels(self) -> list[int]:
-        """Smallest id of each document's component."""
-        least: dict[int, int] = {}
-        roots = [self.root(i) for i in range(len(self.ids))]
-        for r, i in zip(roots, self.ids, strict=True):
-            least[r] = min(i, least.get(r, i))
-        return [least[r] for r in roots]
-
-
-def _cells(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, chunk, doc, shingles) sorted by cell and chunk; links (doc, label) inside each chunk."""
-    now, ids, sets = None, [], []
-
-    def flush() -> pa.RecordBatch:
-        cell = Cell(ids, sets, threshold)
-        cell.join(np.arange(len(ids)))
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(cell.labels(), pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        shingles = batch.column(3)
-        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if key != now and ids:
-                yield flush()
-                ids, sets = [], []
-            now = key
-            ids.append(batch.column(2)[i].as_py())
-            sets.append(shingles[i].values.to_numpy())
-    if ids:
-        yield flush()
+            rids, found = [], []
+            for rid, hi, lo, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                s = shingle(text.as_py())
+                if struct.unpack("<qq", _digest(s)) == (hi, lo):  # other texts may have the same id
+                    rids.append(rid)
+                    found.append(s)
+            if rids:
+                yield pa.record_batch([pa.array(rids, pa.int64()), _lists(np.concatenate(found), [len(s) for s in found])], names=["rid", "shingles"])
+
+    return docs.join(wanted, "doc").select("rid", "hi", "lo", "text").mapInArrow(run, "rid long, shingles array<long>").dropDuplicates(["rid"])
+
+
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, c, union) of pairs (a, b): the sizes of the sets' intersection and union."""
+    left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("c"), (F.size("sa") + F.size("sb")).cast("long").alias("all"))
+    return both.select("a", "b", "c", (F.col("all") - F.col("c")).alias("union"))
+
+
+def neighbour_links(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links (a, b) that connect whatever linked pairs (a < b) connect, by pivots of neighbourhoods."""
+    linked = F.expr(f"100 * c >= {threshold.percent} * union")
+    pivot = common.materialize(pairs.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("pivot")), "join-pivots")
+    star = common.materialize(distances(pivot.select(F.col("pivot").alias("a"), F.col("doc").alias("b")), sets), "join-stars")
+    far = star.select(F.col("b").alias("doc"), F.col("a").alias("pivot"), (1 - F.col("c") / F.col("union")).alias("far"), linked.alias("near"))
+    side = lambda x: far.select(F.col("doc").alias(x), F.col("pivot").alias(f"p{x}"), F.col("far").alias(f"d{x}"), F.col("near").alias(f"l{x}"))
+    rest = pairs.join(side("b"), "b").where("a <> pb").join(side("a"), "a", "left")
+    # pairs of one pivot: connected by it, or out of reach by the triangle inequality
+    known = F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))
+    needless = known & ((F.col("la") & F.col("lb")) | (F.abs(F.col("da") - F.col("db")) > threshold.reach + 1e-9))
+    more = distances(rest.where(~needless).select("a", "b"), sets)
+    return star.union(more).where(linked).select("a", "b")
 
 
 def crowd_links(sets: DataFrame, threshold: Threshold, partitions: int) -> DataFrame:
@@ -383,69 +348,7 @@ def crowd_links(sets: DataFrame, threshold: Threshold, partitions: int) -> DataF
     # written, so that the join stands alone and Spark can split the rows of a very crowded shingle
     first = common.materialize(held.groupBy("h").agg(F.min("doc").alias("m"), F.count("*").alias("k")).where("k > 1").drop("k"), "join-first")
     cells = connected_components(held.join(first, "h").select(F.col("doc").alias("a"), F.col("m").alias("b")).distinct())
-    cells = cells.select(F.col("node").alias("doc"), F.col("component").alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count("*").alias("members"))
-    dealt = cells.join(counts, "cell").where("members > 1").select("doc", "cell", "members", F.expr(f"cast(pmod(xxhash64(doc), ceil(members / {CHUNK})) as int)").alias("chunk"))
-    dealt = common.materialize(dealt.join(sets, "doc").select("cell", "chunk", "doc", "shingles", "members"), "join-cells")
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cells(batches, threshold)
-
-    grouped = dealt.repartition(partitions, "cell", "chunk").sortWithinPartitions("cell", "chunk", "doc")
-    inside = common.materialize(grouped.select("cell", "chunk", "doc", "shingles").mapInArrow(local, "a long, b long"), "join-links")
-    large = dealt.where(f"members > {CHUNK}")
-    if large.isEmpty():
-        return inside
-    # one document of each chunk's components meets those of the other chunks, then what is outside the largest component meets everything
-    heads = large.join(inside.select(F.col("a").alias("doc"), F.col("b").alias("label")), "doc")
-    sample = heads.withColumn("r", F.row_number().over(_window("cell", "label"))).where("r <= 16").drop("r")
-    links = inside.union(common.materialize(_against(sample, sample, threshold, partitions), "join-links"))
-    parts = connected_components(links).select(F.col("node").alias("doc"), "component")
-    placed = large.join(parts, "doc")
-    most = placed.groupBy("cell", "component").agg(F.count("*").alias("k")).groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("top"))
-    outside = placed.join(most, "cell").where("component <> top").select("cell", "chunk", "doc", "shingles")
-    return links.union(_against(outside, large, threshold, partitions))
-
-
-def _window(*by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by).orderBy(F.xxhash64("doc"))
-
-
-def _against(probes: DataFrame, rows: DataFrame, threshold: Threshold, partitions: int) -> DataFrame:
-    """Links between probes and rows of the same cell, compared in blocks of bounded size."""
-    block = F.expr(f"cast(pmod(xxhash64(doc), greatest(1, ceil(k / {BLOCK}))) as int)")
-    sized = probes.join(probes.groupBy("cell").agg(F.count("*").alias("k")), "cell").select("cell", "doc", "shingles", block.alias("block"))
-    blocks = sized.select("cell", "block").distinct()
-    right = rows.select("cell", "chunk", "doc", "shingles").join(blocks, "cell").select("cell", "chunk", "block", "doc", "shingles", F.lit(False).alias("probe"))
-    left = sized.join(rows.select("cell", "chunk").distinct(), "cell").select("cell", "chunk", "block", "doc", "shingles", F.lit(True).alias("probe"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def flush() -> pa.RecordBatch:
-            cell = Cell([h[0] for h in held], [h[1] for h in held], threshold)
-            probe = np.array([h[2] for h in held])
-            others = np.flatnonzero(~probe)
-            for i in np.flatnonzero(probe):
-                if len(others):
-                    cell.link(int(i), others)
-            return pa.record_batch([pa.array(cell.ids, pa.int64()), pa.array(cell.labels(), pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for i, key in enumerate(keys):
-                if key != now and held:
-                    yield flush()
-                    held = []
-                now = key
-                held.append((batch.column(3)[i].as_py(), batch.column(4)[i].values.to_numpy(), batch.column(5)[i].as_py()))
-        if held:
-            yield flush()
-
-    both = left.union(right).repartition(partitions, "cell", "chunk", "block").sortWithinPartitions("cell", "chunk", "block", "doc")
-    return both.mapInArrow(run, "a long, b long")
+    return region_links(cells.select(F.col("component").alias("region"), F.col("node").alias("doc")), sets, threshold, partitions)
 
 
 def join_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent: int = 80, width: int = 5) -> DataFrame:
@@ -454,27 +357,30 @@ def join_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     partitions = common.shuffle_partitions(spark)
     plain = docs.select(F.col(row_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     full = common.materialize(zone_table(plain, width, threshold), "join-zones")
-    met = common.materialize(meetings(full.where(F.size("zone") + F.size("marks") > 0), partitions), "join-meetings")
+    met = common.materialize(meetings(full.where("emitted or size(marks) > 0"), partitions), "join-meetings")
     # the shingles themselves, most of the table, have done their work
-    zones = common.materialize(full.select("doc", "n", "cls", "limit", "crowded", (F.size("zone") + F.size("crowded") > 0).alias("emitted")), "join-documents")
+    zones = common.materialize(full.select("rid", "doc", "n", "hi", "lo", "emitted", "limit", "crowded"), "join-documents")
     common.drop_table(full)
     common.release(spark)
-    pairs, crowd = candidate_pairs(met, zones, threshold, partitions)
+    heads = zones.where("emitted").groupBy("hi", "lo").agg(F.min(F.struct("rid", "doc", "n", "limit", "crowded")).alias("e")).select("hi", "lo", "e.*")
+    heads = common.materialize(heads, "join-heads")
+    pairs, crowd = candidate_pairs(met, heads, threshold, partitions)
     pairs = common.materialize(pairs, "join-pairs")
     common.drop_table(met)
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(crowd).distinct()
-    sets = common.materialize(shingle_sets(plain, wanted, width), "join-sets")
+    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(crowd).distinct()
+    sets = common.materialize(shingle_sets(plain, heads.select("rid", "doc", "hi", "lo").join(wanted, "rid"), width), "join-sets")
     common.release(spark)
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    checked = pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    links = checked.union(crowd_links(common.materialize(sets.join(crowd, "doc", "left_semi"), "join-crowd"), threshold, partitions))
-    classes = zones.where(F.col("cls").isNotNull()).select("doc", "cls")
+    gathered = common.materialize(sets.join(crowd, "rid", "left_semi").withColumnRenamed("rid", "doc"), "join-crowd")
+    links = neighbour_links(pairs, sets, threshold).union(crowd_links(gathered, threshold, partitions))
+    # from heads' rows to ids: rows that share an id are one document
+    name = heads.select("rid", "doc")
+    ends = links.join(name.select(F.col("rid").alias("a"), F.col("doc").alias("da")), "a").join(name.select(F.col("rid").alias("b"), F.col("doc").alias("db")), "b")
+    classes = zones.where(F.col("hi").isNotNull()).select("doc", "hi", "lo")
     # written, so that the join stands alone and Spark can split the rows of a very large class; most classes are single
-    heads = common.materialize(classes.groupBy("cls").agg(F.min("doc").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k"), "join-heads")
-    members = classes.join(heads, "cls").select(F.col("doc").alias("a"), F.col("head").alias("b")).where("a <> b")
-    parts = connected_components(links.union(members))
+    least = classes.groupBy("hi", "lo").agg(F.min("doc").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
+    least = common.materialize(least, "join-classes")
+    members = classes.join(least, ["hi", "lo"]).select(F.col("doc").alias("a"), F.col("head").alias("b")).where("a <> b")
+    parts = connected_components(ends.select(F.col("da").alias("a"), F.col("db").alias("b")).union(members))
     return zones.select("doc", "n").join(parts, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias(row_id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from llm_tables import EDGES, LONG, table
 from pyspark.sql import functions as F
 
-from driftgauge.llm import chunk_dedup, components, language, ngram_join, packing, quality, secrets, shards
+from driftgauge.llm import chunk_dedup, components, language, ngram_join, packing, quality, secrets, shards, voronoi
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -270,11 +270,13 @@ def near_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "crowd", "chunk", "leaf"), [(1, 16, 3000, 256), (2, 4, 20, 8), (3, 2, 12, 4)])
-def test_join_equals_brute_force(spark, monkeypatch, seed, crowd, chunk, leaf):
+@pytest.mark.parametrize(("seed", "crowd", "part", "settings"), [(1, 16, 10_000, {}), (2, 4, 1000, {"SPAN": 10, "LEAF": 8, "PIVOTS": 4}), (3, 2, 7, {"SPAN": 6, "BLOCK": 5, "LEAF": 4, "PIVOTS": 3}), (5, 2, 50, {"ROUNDS": 1, "BLOCK": 9, "LEAF": 6})])
+def test_join_equals_brute_force(spark, monkeypatch, seed, crowd, part, settings):
     rows = near_rows(seed)
-    for name, value in (("CROWD", crowd), ("CHUNK", chunk), ("BLOCK", 2 * chunk), ("LEAF", leaf)):
-        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "PART", part)
+    for name, value in settings.items():
+        monkeypatch.setattr(voronoi, name, value)
     found = ngram_join.join_components(table(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
 
@@ -295,6 +297,84 @@ def test_join_query_and_edges(spark, docs_dir):
     assert ngram_join.join_components(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_holders_in_any_batches(seed):
+    import pyarrow as pa
+
+    rnd = random.Random(seed)
+    rows, low = [], -(1 << 63)
+    for _ in range(400):
+        h, cls = int(rnd.paretovariate(0.6)) % 40, rnd.randrange(30)
+        rows.append((h, cls, cls * 7, rnd.randrange(1000), 50 << 32 | rnd.randrange(50)))
+    rows += [(h, low, low, -1, -1) for h in (3, 3, 17, 99)]
+    rows.sort(key=lambda r: r[:4])
+    want, crowd = set(), 6
+    for h in {r[0] for r in rows}:
+        least = {}
+        for r in rows:
+            if r[0] == h and r[4] >= 0:
+                least.setdefault(r[1], r)
+        hot = len(least) > crowd or any(r[0] == h and r[4] < 0 for r in rows)
+        if hot or len(least) > 1:
+            want |= {(*r[:4], 50, r[4] & 0xFFFFFFFF, hot) for r in least.values()}
+    for step in (1, 3, 50, 1000):
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i : i + step], strict=True)], names=["h", "hi", "lo", "rid", "at"]) for i in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in ngram_join._holders(iter(batches), crowd) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def region_parts(spark, monkeypatch, sets, settings, percent=80):
+    """Components of the sets, all in one region, as the region join finds them and by brute force."""
+    for name, value in settings.items():
+        monkeypatch.setattr(voronoi, name, value)
+    table_ = spark.createDataFrame([(i, [int(x) for x in sorted(s)]) for i, s in enumerate(sets)], "doc long, shingles array<long>").repartition(4)
+    links = voronoi.region_links(table_.select(F.lit(7).cast("long").alias("region"), "doc"), table_, voronoi.Threshold(percent), 4).collect()
+    found, want = voronoi.Forest(len(sets)), voronoi.Forest(len(sets))
+    for r in links:
+        found.join(r.a, r.b)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                want.join(i, j)
+    return [found.root(i) for i in range(len(sets))], [want.root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("seed", "settings"), [(1, {"LEAF": 10, "SPAN": 20, "PIVOTS": 5}), (2, {"LEAF": 20, "SPAN": 7, "PIVOTS": 64, "BLOCK": 25}), (3, {"LEAF": 5, "SPAN": 50, "PIVOTS": 2, "ROUNDS": 3, "BLOCK": 30})])
+def test_regions_equal_brute_force(spark, monkeypatch, seed, settings):
+    rnd = random.Random(seed)
+    sets = []
+    for k in range(6):  # clusters at several distances, some of which share a core
+        core = set(rnd.sample(range(1000 * (k // 2), 1000 * (k // 2) + 90), 60))
+        for _ in range(40):
+            s = set(core)
+            for x in rnd.sample(sorted(core), rnd.randint(0, 9)):
+                s.remove(x)
+                s.add(rnd.randrange(10**6))
+            sets.append(s)
+    sets += [{rnd.randrange(10**6) for _ in range(30)} for _ in range(20)]
+    found, want = region_parts(spark, monkeypatch, sets, settings)
+    assert found == want and 1 < len(set(want)) < len(sets)
+
+
+def test_regions_of_equal_distances(spark, monkeypatch):
+    """A common part of 100 and own parts of 20: no pivot cuts that; one set without an own part links with all."""
+    sets = [set(range(100)) | {1000 * i + j for j in range(20)} for i in range(1, 80)]
+    settings = {"LEAF": 10, "SPAN": 16, "PIVOTS": 4, "BLOCK": 16}
+    found, want = region_parts(spark, monkeypatch, sets, settings)
+    assert found == want == list(range(79))
+    found, want = region_parts(spark, monkeypatch, [*sets, set(range(100))], settings)
+    assert found == want == [0] * 80
+
+
+def test_join_rows_of_one_id(spark):
+    """Texts of one id each keep their links, whatever the order of rows."""
+    first, second = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(5, first), (5, second), (8, first + " x"), (9, second + " y"), (9, second + " y"), (3, "quite another text of more than five words")]
+    for some in (rows, rows[::-1]):
+        found = {r.doc_id: r.component_id for r in ngram_join.join_components(table(spark, some)).collect()}
+        assert found == {5: 5, 8: 5, 9: 5, 3: 3}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (200, 200), (None, 3)]
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
