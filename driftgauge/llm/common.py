@@ -7,11 +7,14 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: ASCII white space as a regular-expression class body.
+#: ASCII white space as a regular-expression class body, and as characters.
 WS = r"\x20\x09-\x0D"
+SPACES = " \t\n\v\f\r"
 
 
 def ship(spark: SparkSession) -> None:
@@ -120,6 +123,30 @@ def tokenizer_path(name_or_path: str) -> str:
     return str(public_tokenizers.path(name_or_path))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, kind: str, zero: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """The state of a fold after each item of an array.
+
+    Folded in blocks, as an array is copied whenever something is appended: the
+    work is ``block`` copies an item, and a copy of what blocks there are a block.
+    """
+
+    def over(a: Column) -> Column:
+        def fold(acc: Column, b: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+            inner = F.aggregate(F.slice(a, b * block + 1, F.lit(block)), start, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.array_append(s["out"], step(s["at"], x)).alias("out")))
+            return let(inner, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+        start = F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(a) / block).cast("int")), start, fold, lambda acc: F.flatten(acc["out"]))
+
+    return let(items, over)
+
+
 class BoundedCache(dict):
     """A dict that empties itself when ``put`` finds it full, so that its memory has a bound.
 

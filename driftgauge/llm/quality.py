@@ -17,13 +17,13 @@ alike; rows with a null id are judged by their text. An empty table gives no row
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.llm import common
+from driftgauge.llm.common import let
 
 #: Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
@@ -41,11 +41,6 @@ FEATURES: dict[str, str] = {
 }
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more.
 
@@ -81,7 +76,7 @@ def repeated_words(words: Column) -> Column:
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the statistics of every whole text."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    trimmed = F.regexp_replace(body, rf"^[{common.WS}]+|[{common.WS}]+\z", "")
+    trimmed = F.btrim(body, F.lit(common.SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{common.WS}]+", -1))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(rf"[^{common.WS}]"))
     count = lambda pattern: F.length(body) - F.length(F.regexp_replace(body, pattern, ""))
