@@ -14,7 +14,8 @@ number and the join grows with the text.
 Only DataFrame functions are used. The text is read once; what is shuffled is
 spans of documents that hold a weak candidate next to something.
 
-Positions count code points, ends are exclusive. Null text counts as empty.
+Places come from prefix sums in blocks, overlaps from a binary search: the work on
+a text grows little faster than its matches. Positions count code points, ends are exclusive. Null text counts as empty.
 Repeated rows each give their result, rows
 with a null id too, and an empty table gives none. ``documents`` may have any extra columns.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.llm import common
+from driftgauge.llm.common import let, running
 
 #: Fixed values of the base rules: pattern, group that is measured, least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,16 +38,19 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: Weak candidates.
 WEAK_ID = r"""(?i)\b(?:client_?id|access_?id|access_?key_?id|account|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=a-z-]*+[A-Z])(?=[0-9+/_=A-Z-]*+[a-z])[A-Za-z0-9+/_=-]{20,}"
-ENDPOINT = r"""(?i)\b(?:[a-z][a-z0-9+.-]{1,10}://[^\x20\x09-\x0D"'<>]{3,}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)"""
+ENDPOINT = r"""(?i)\b(?:[a-z][a-z0-9+.-]{1,10}://[^\x20\x09-\x0D"'<>]{3,}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?|(?<![a-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}\b)"""
 #: Kinds in the order in which equal starts are listed, and what each stands for.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
 SCOPE = 200
 
-_SPAN = "array<struct<start:int,end:int,size:int>>"
+#: start and end in code points and in bytes, and the measured group's length.
+_SPAN = "array<struct<start:int,end:int,from:int,to:int,size:int>>"
+#: Strong spans up to which each weak candidate is compared with all of them.
+FEW = 16
 
 
 def match_spans(text: Column, pattern: str, measured: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (start, end, length of the measured group).
+    """Leftmost non-overlapping matches with the length of the measured group.
 
     Places follow from the lengths of the matches and of the gaps between
     them. Texts without a match are told apart by a search alone.
@@ -53,20 +58,50 @@ def match_spans(text: Column, pattern: str, measured: int = 0) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if measured == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(measured))
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("match"), part.alias("part"))
-    named = F.transform(zipped, lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["match"]).alias("len"), F.length(z["part"]).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    both = lambda f, z: (f(z["gap"]) + f(z["match"])).cast("int")
+    named = F.transform(
+        F.filter(zipped, lambda z: z["match"].isNotNull()),
+        lambda z: F.struct(both(F.length, z).alias("step"), F.length(z["match"]).alias("len"), both(F.octet_length, z).alias("bytes"), F.octet_length(z["match"]).alias("long"), F.length(z["part"]).alias("size")),
+    )
+
+    def placed(items: Column) -> Column:
+        sums = lambda f: running(F.transform(items, lambda x: x[f]), "int", F.lit(0), lambda at, x: at + x)
+
+        def span(x: Column, e: Column) -> Column:
+            return F.struct((e["c"] - x["len"]).alias("start"), e["c"].alias("end"), (e["b"] - x["long"]).alias("from"), e["b"].alias("to"), x["size"].alias("size"))
+
+        return F.zip_with(items, F.arrays_zip(sums("step").alias("c"), sums("bytes").alias("b")), span)
+
+    return F.when(text.rlike(pattern), let(named, placed)).otherwise(F.array().cast(_SPAN))
+
+
+def outside(weak: Column, strong: Column) -> Column:
+    """The weak candidates that overlap no strong span."""
+    few = F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+
+    def searched(ordered: Column) -> Column:
+        def among(reach: Column) -> Column:
+            powers = F.array(*[F.lit(1 << k) for k in range(28, -1, -1)])
 
-    def add(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["gap"]
-        span = F.struct(here.alias("start"), (here + x["len"]).alias("end"), x["size"].alias("size"))
-        return F.struct((here + x["len"]).alias("at"), F.array_append(acc["out"], span).alias("out"))
+            def free(w: Column) -> Column:
+                # how many strong spans start before the candidate's end, found bit by bit
+                before = F.aggregate(powers, F.lit(0), lambda at, p: F.when(F.coalesce(F.get(ordered, at + p - 1)["start"] < w["end"], F.lit(False)), at + p).otherwise(at))
+                return F.coalesce(F.get(reach, before - 1) <= w["start"], F.lit(True))
 
-    spans = F.aggregate(F.filter(named, lambda x: x["len"].isNotNull()), start, add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+            return F.filter(weak, free)
+
+        return let(_reach(ordered, "end"), among)
+
+    return F.when(F.size(strong) <= FEW, few).otherwise(let(F.array_sort(strong), searched))
+
+
+def _reach(ordered: Column, end: str) -> Column:
+    """How far the spans up to each one reach."""
+    return running(F.transform(ordered, lambda s: s[end]), "int", F.lit(0), lambda at, e: F.greatest(at, e))
 
 
 def _named(spans: Column, kind: int, role: str, weak: bool) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(weak).alias("weak")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["from"].alias("from"), s["to"].alias("to"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(weak).alias("weak")))
 
 
 def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,8 +128,7 @@ def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = found.select(*docs.columns, strong.alias("__base"), weak.alias("__all_weak"))
     # a weak candidate inside a strong span of its role is that span's own text
-    alone = F.filter("__all_weak", lambda w: ~F.exists("__base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return out.select(*docs.columns, "__base", F.when(F.size("__all_weak") > 0, alone).otherwise(F.col("__all_weak")).alias("__weak"))
+    return out.select(*docs.columns, "__base", F.when(F.size("__all_weak") > 0, outside(F.col("__all_weak"), F.col("__base"))).otherwise(F.col("__all_weak")).alias("__weak"))
 
 
 def link_parts(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
@@ -141,17 +175,24 @@ def redact(docs: DataFrame, text: str = "text", row_id: str = "doc_id", mark: st
     spans = scan(docs, text, row_id).where(F.size("__spans") > 0).dropDuplicates([row_id, "__digest"]).select(F.col(row_id).alias("__s_id"), F.col("__digest").alias("__s_digest"), "__spans")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hit = docs.join(spans, F.col(row_id).eqNullSafe(F.col("__s_id")) & (F.xxhash64(body) == F.col("__s_digest")), "left")
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))))
+
+    def cut(raw: Column) -> Column:
+        plain = lambda at, n: F.substring(raw, at + 1, n).cast("string")
+
+        def of_spans(p: Column) -> Column:
+            def of_reach(reach: Column) -> Column:
+                done = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+                # overlapping spans (a hexadecimal run inside an assignment) make one mark
+                pieces = F.transform(p, lambda s, i: F.when(s["from"] >= done(i), F.concat(plain(done(i), s["from"] - done(i)), F.lit(mark))).otherwise(F.lit("")))
+                return F.concat(F.array_join(pieces, ""), plain(done(F.size(p)), F.lit(2147483647)))
+
+            return let(_reach(p, "to"), of_reach)
 
-    def step(acc: Column, s: Column) -> Column:
-        # overlapping spans (a hexadecimal run inside an assignment) make one mark
-        fresh = s["start"] >= acc["at"]
-        kept = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
+        return let(ordered, of_spans)
 
-    cut = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.lit(2147483647))))
-    return hit.select(*[(F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut).alias(text) if c == text else F.col(c)) for c in columns])
+    redacted = let(body.cast("binary"), cut)
+    return hit.select(*[(F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redacted).alias(text) if c == text else F.col(c)) for c in columns])
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

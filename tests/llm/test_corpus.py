@@ -183,6 +183,73 @@ def test_redaction(spark):
     assert secrets.redact(df).columns == df.columns and secrets.redact(df).count() == len(SECRETS)
 
 
+JAVA_WORD = r"(?<![A-Za-z0-9_])"
+WEAK = [
+    (3, "id", re.compile(JAVA_WORD + r"""(?:client_?id|access_?id|access_?key_?id|account|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)),
+    (4, "secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}", re.A)),
+    (5, "endpoint", re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,10}://[^\x20\x09-\x0D"'<>]{3,}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?|(?<![a-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b)""", re.I | re.A)),
+]
+
+
+def brute_spans(t):
+    """All spans of a text, by comparing every weak candidate with everything."""
+    role = {0: "secret", 1: "id", 2: "secret"}
+    strong = [(a, e, k, role[k]) for a, k, e in base_spans(t)]
+    weak = [(m.start(), m.end(), k, r) for k, r, p in WEAK for m in p.finditer(t)]
+    weak += [(m.start(), m.end(), 4, "secret") for m in ASSIGN.finditer(t) if 4 <= len(m[2]) < 8]
+    weak += [(m.start(), m.end(), 3, "id") for m in re.finditer("AKIA[A-Z0-9]+", t) if 8 <= len(m[0]) < 16]
+    weak = [w for w in weak if not any(s[0] < w[1] and w[0] < s[1] for s in strong)]
+    out = {(a, k, e) for a, e, k, _ in strong}
+    for a, e, k, r in weak:
+        near = {p[3] for p in strong + weak if p[0] < e + secrets.SCOPE and p[1] > a - secrets.SCOPE}
+        if {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}[r] <= near:
+            out.add((a, k, e))
+    return sorted(out)
+
+
+def leaky_text(rnd, parts):
+    some = [
+        lambda: f"client_id: app-{rnd.randrange(99)}", lambda: "api_key = s" + "x" * rnd.randrange(3, 9), lambda: "AKIA" + "Z9" * rnd.randrange(1, 9), lambda: "Ab1" * rnd.randrange(6, 40), lambda: "f0" * rnd.randrange(12, 20),
+        lambda: f"https://h{rnd.randrange(9)}.example.org/é", lambda: f"10.0.0.{rnd.randrange(300)}", lambda: f"db-{rnd.randrange(9)}.example.net:5432", lambda: "password='" + "q" * rnd.randrange(2, 14) + "'", lambda: "Zz" * 30 + "7",
+        lambda: "naïve 日本 🙂", lambda: "a-a-a-b.c", lambda: "token : :", lambda: "login=" + "f" * 40,
+    ]
+    return "".join(rnd.choice(some)() + rnd.choice([" ", "\n", ", ", " filler " * rnd.randrange(40)]) for _ in range(parts))
+
+
+def test_linked_spans_equal_brute_force(spark, docs_dir):
+    rnd = random.Random(12)
+    rows = [(i, leaky_text(rnd, rnd.choice([2, 4, 9, 40, 120]))) for i in range(150)]
+    found = {r.doc_id: r.spans for r in secrets.op10_secret_scan(spark, docs_dir(rows)).collect()}
+    for d, t in rows:
+        assert found[d] == ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in brute_spans(t)), t
+    left = {r.doc_id: r.text for r in secrets.redact(table(spark, rows)).collect()}
+    for d, t in rows:
+        out, at = "", 0
+        for a, e in sorted((a, e) for a, _, e in brute_spans(t)):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, e)
+        assert left[d] == out + t[at:]
+
+
+def test_very_many_matches_and_long_runs_of_space(spark, docs_dir):
+    """A hundred thousand matches, and megabytes without one, take time in proportion."""
+    import time
+
+    many = "token=abcdefgh1 client_id: app-7 é " * 60_000
+    rows = [(1, many), (2, "x" + " " * 2_000_000 + "y " + "word " * 60), (3, "a-" * 500_000), (4, "AKIA " * 200_000), (5, "password" + " " * 1_000_000 + "=")]
+    d = docs_dir(rows)
+    begin = time.time()
+    found = {r.doc_id: r for r in secrets.op10_secret_scan(spark, d).collect()}
+    assert found[1].n_assign == 60_000 and found[1].spans.count(",") == 119_999 and all(found[i].n_assign == 0 for i in (2, 3, 4, 5))
+    assert found[1].base_sha256 == hashlib.sha256(",".join(f"assign:{i * 35}:{i * 35 + 15}" for i in range(60_000)).encode()).hexdigest()
+    left = {r.doc_id: r.text for r in secrets.redact(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    assert left[1] == "[SECRET] [SECRET] é " * 60_000 and all(left[i] == t for i, t in rows[1:])
+    stats = {r.doc_id: r for r in quality.op3_quality_rules(spark, d).collect()}
+    assert stats[2].n_words == 62 and stats[1].n_words == 240_000 and stats[1].n_repeat_words == 240_000
+    assert time.time() - begin < 120
+
+
 # exact dedup
 
 
