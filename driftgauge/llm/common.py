@@ -87,6 +87,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted(rows: DataFrame, row_id: str) -> DataFrame:
+    """``rows``, written, with ``__salt``: 0 where the id names one row, else a number of the row's own.
+
+    Null and repeated ids may name any share of the rows; whoever deals rows by
+    id deals by both, so that such rows spread and all others go where their id says.
+    """
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "salted")
+    many = materialize(rows.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("__many")).agg(F.count("*").alias("k")).where("k > 1").drop("k"), "repeated-ids")
+    joined = rows.join(many, F.col(row_id) == F.col("__many"), "left")
+    return joined.withColumn("__salt", F.when(F.col(row_id).isNull() | F.col("__many").isNotNull(), F.col("__row") + 1).otherwise(0)).drop("__row", "__many")
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` wrote, once all that needed them is written."""
     files = df.inputFiles()

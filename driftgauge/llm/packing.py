@@ -14,8 +14,8 @@ A document longer than a bin is cut into full bins and a rest that is packed
 like any other; nothing is dropped.
 
 Null text has the length of its separator, 1. Null sources and clusters
-conflict with nothing. Repeated rows are packed each. Rows with a null id form
-part of the group of that hash. An empty table gives no bins.
+conflict with nothing. Repeated rows are packed each; they, and rows with a null
+id, are dealt to groups one by one. An empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, row_i
     """(row_id, n_units, piece, piece_units, pack_group, bin, bin_offset), a row for each piece."""
     spark = docs.sparkSession
     code = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
-    items = common.materialize(docs.select(F.col(row_id).cast("long").alias("id"), length.cast("long").alias("len"), code(source).alias("source"), code(cluster).alias("cluster")), "pack-items")
+    items = common.salted(docs.select(F.col(row_id).cast("long").alias("id"), length.cast("long").alias("len"), code(source).alias("source"), code(cluster).alias("cluster")), "id")
     total = items.agg(F.sum("len")).first()[0] or 0
     groups = max(1, -(-total // (capacity * group_bins)))
 
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, row_i
             yield from flush()
 
     n = common.shuffle_partitions(spark)
-    dealt = items.select(F.expr(f"pmod(xxhash64(id), {groups}L)").alias("g"), "id", "len", "source", "cluster").repartition(n, "g").sortWithinPartitions("g", F.desc("len"), "id", "cluster", "source")
+    dealt = items.select(F.expr(f"pmod(xxhash64(id, __salt), {groups}L)").alias("g"), "id", "len", "source", "cluster").repartition(n, "g").sortWithinPartitions("g", F.desc("len"), "id", "cluster", "source")
     packed = dealt.mapInArrow(run, "id long, n_units long, piece long, piece_units long, pack_group long, bin long, bin_offset long")
     return packed.withColumnRenamed("id", row_id)
 

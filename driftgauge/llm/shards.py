@@ -1,7 +1,7 @@
 """Sharding by histogram sort: balanced bytes, one exchange.
 
-Rows get a 63-bit key: 39 bits of the text's hash over 24 bits of the row id's
-hash. Equal texts are neighbours in key order, and even one text that fills a
+Rows get a 63-bit key: 39 bits of the text's hash over 24 bits of the row's, which
+is its id's, or of a number of its own where the id is null or repeated. Equal texts are neighbours in key order, and even one text that fills a
 third of the table is spread over 2^24 keys, so that it can be cut where the
 balance asks for it and nowhere else.
 
@@ -15,8 +15,8 @@ once, and slots are numbered in bins of known first slot, in parallel.
 Only DataFrame functions are used. The driver sees counts of at most a few
 thousand bins a round, whatever the table's size.
 
-Null text: no bytes, so size 1. Null ids hash like any value; repeated rows
-take slots of their own. An empty table gives an empty result. The law held is
+Null text: no bytes, so size 1. Rows with null ids and repeated rows take slots of
+their own, and are cut like others. An empty table gives an empty result. The law held is
 ``bytes``.
 """
 
@@ -35,10 +35,10 @@ _GROUP = 1 << ROW_BITS
 _FIRST, _REFINE = 10, 6
 
 
-def sort_key(text: Column, row_id: Column) -> Column:
+def sort_key(text_hash: Column, row_id: Column, salt: Column) -> Column:
     """The 63-bit key of a row."""
-    group = F.shiftrightunsigned(F.xxhash64(text), 64 - (KEY_BITS - ROW_BITS))
-    return F.shiftleft(group, ROW_BITS).bitwiseOR(F.xxhash64(row_id).bitwiseAND(F.lit(_GROUP - 1)))
+    group = F.shiftrightunsigned(text_hash, 64 - (KEY_BITS - ROW_BITS))
+    return F.shiftleft(group, ROW_BITS).bitwiseOR(F.xxhash64(row_id, salt).bitwiseAND(F.lit(_GROUP - 1)))
 
 
 @dataclass(frozen=True)
@@ -155,12 +155,16 @@ def assign(keyed: DataFrame, plan: ShardPlan, tie: list[str]) -> DataFrame:
 def shard_rows(df: DataFrame, text: str = "text", row_id: str = "doc_id", shards: int = 16, tolerance: float = 0.002) -> DataFrame:
     """``df`` with ``size``, ``shard`` and ``slot``; columns of ``df`` with those names are replaced."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = df.drop("size", "shard", "slot").withColumn("__size", F.octet_length(body).cast("long") + 1).withColumn("__key", sort_key(body, F.col(row_id)))
-    narrow = common.materialize(keyed.select("__key", "__size"), "shard-keys")
-    plan = plan_shards(narrow, shards, tolerance)
+    rows = df.drop("size", "shard", "slot").withColumn("__size", F.octet_length(body).cast("long") + 1).withColumn("__hash", F.xxhash64(body))
+    keyed = _keyed(common.salted(rows, row_id), row_id)
+    plan = plan_shards(common.materialize(keyed.select("__key", "__size"), "shard-keys"), shards, tolerance)
     return assign(keyed, _closed(plan), [row_id]).withColumnRenamed("__size", "size").drop("__key")
 
 
+def _keyed(rows: DataFrame, row_id: str) -> DataFrame:
+    return rows.withColumn("__key", sort_key(F.col("__hash"), F.col(row_id), F.col("__salt"))).drop("__hash", "__salt")
+
+
 def _closed(plan: ShardPlan) -> ShardPlan:
     """The plan with the last key of each bin in place of its end."""
     return ShardPlan(plan.splitters, [(lo, hi - 1, s, f) for lo, hi, s, f in plan.bins], plan.rounds)
@@ -170,8 +174,8 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     body = F.coalesce(F.col("text"), F.lit(""))
     narrow = common.documents(spark, sf_dir).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.crc32(body).alias("text_crc32"), (F.octet_length(body).cast("long") + 1).alias("__size"), sort_key(body, F.col("doc_id")).alias("__key")
+        F.col("doc_id").cast("long").alias("doc_id"), F.crc32(body).alias("text_crc32"), (F.octet_length(body).cast("long") + 1).alias("__size"), F.xxhash64(body).alias("__hash")
     )
-    narrow = common.materialize(narrow, "shards")
+    narrow = common.materialize(_keyed(common.salted(narrow, "doc_id"), "doc_id"), "shards")
     placed = assign(narrow, _closed(plan_shards(narrow)), ["doc_id"])
     return placed.select("doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

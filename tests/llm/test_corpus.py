@@ -75,6 +75,22 @@ def test_shards_keep_copies_together_where_balance_allows(spark):
     assert sum(len(v) > 1 for v in where.values()) == 0
 
 
+@pytest.mark.parametrize("row_id", [None, 7])
+def test_shards_cut_rows_of_one_id_and_text(spark, row_id):
+    rows = [(row_id, "the same text")] * 400 + [(1000 + i, f"text {i}") for i in range(200)]
+    found = shards.shard_rows(table(spark, rows), shards=4).collect()
+    total = sum(r.size for r in found)
+    check_shards(found, rows, 4, 0.002 * total / 4 + 2 * max(r.size for r in found))
+
+
+def test_shards_meet_the_tolerance(spark):
+    rnd = random.Random(3)
+    rows = [(i, "x" * rnd.randrange(5, 60) + str(i % 900)) for i in range(20_000)]
+    found = shards.shard_rows(table(spark, rows), shards=8, tolerance=0.01).collect()
+    total = sum(r.size for r in found)
+    check_shards(found, rows, 8, 2 * 0.01 * total / 8 + 61)
+
+
 def test_shards_edges(spark, docs_dir):
     found = shards.op2_histogram_shards(spark, docs_dir(EDGES)).collect()
     assert len(found) == len(EDGES)
@@ -480,6 +496,36 @@ def test_packing_equals_brute_force():
         assert packing.pack_group(items, 100) == brute_pack(items, 100)
 
 
+def test_packing_spreads_rows_without_an_id_of_their_own(spark):
+    rows = [(None if i % 2 else 5, "same text " * 300, "en", None) for i in range(400)]
+    found = packing.pack_documents(table(spark, rows), capacity=4000).collect()
+    assert len(found) == 400 and len({(r.pack_group, r.bin) for r in found}) == 400
+    few = packing.pack(table(spark, rows), F.lit(10), F.lit(None).cast("string"), F.lit(None).cast("string"), capacity=20, group_bins=10).collect()
+    assert len({r.pack_group for r in few}) > 10 and len(few) == 400
+
+
+def brute_groups(found, rows, capacity):
+    """The query's groups, each packed by brute force, longest first."""
+    facts = {d: (len((t or "").encode()) + 1, s, re.sub("[A-Z]", lambda m: m[0].lower(), normal(t)).lower() or None) for d, t, _, s in rows}
+    want = {}
+    for g in {r.pack_group for r in found}:
+        ids = list(dict.fromkeys(r.doc_id for r in found if r.pack_group == g))
+        for d, pieces in zip(ids, brute_pack([facts[d] for d in ids], capacity), strict=True):
+            want[d] = [(p, b, at, n) for p, b, at, n in pieces]
+    return want
+
+
+def test_packing_query_equals_brute_force(spark, docs_dir):
+    rows = [(d, t, "en", s) for d, t, _, s in corpus(400, 9)]
+    found = packing.op8_best_fit_packing(spark, docs_dir(rows)).collect()
+    got = defaultdict(list)
+    for r in found:
+        got[r.doc_id].append((r.piece, r.bin, r.bin_offset, r.piece_units))
+    units = [r.n_units for r in sorted(found, key=lambda r: r.pack_group)]
+    assert units == sorted(units, reverse=True)  # one group here, in the order in which it was packed
+    assert got == brute_groups(found, rows, packing.CAPACITY)
+
+
 def test_packing_query(spark, docs_dir):
     rows = [(d, t, "en", None if i % 5 == 0 else f"s{i % 9}") for i, (d, t) in enumerate(EDGES + [(1000 + d, t) for d, t, *_ in corpus(300)])]
     found = packing.op8_best_fit_packing(spark, docs_dir(rows)).collect()
