@@ -9,9 +9,12 @@ foreign stretch in a text is told from its neighbours. The text's language is
 that of the greatest mean probability, which is the score. Neighbouring words
 of one language are a span, with places in the text as it is given.
 
-Learned from ``per_language`` whole documents of each language at most (those
-of the smallest hash of ``doc_id`` outside the held-out quarter); every document
-is then labelled in full. Only text and language are used.
+Learned from ``per_language`` whole documents of each of the ``languages`` most
+frequent languages at most (those of the smallest hash of ``doc_id`` outside the
+held-out quarter, of at most ``document_bytes`` bytes each); every document
+is then labelled in full. Only text and language are used. As labels name whole
+documents, chains that change language are made for training: stretches of two
+training documents in turn, from which the moves between languages are learned.
 
 Null text, or text without a letter, is ``und`` with score 0. With nothing to
 learn from, all is ``und``. A row with a null id is not held out. Repeated rows
@@ -174,6 +177,28 @@ class Crf:
         return out
 
 
+def switching(chains: list[list[str]], gold: list[int], share: float = 0.25, stretch: int = 40) -> tuple[list[list[str]], list[np.ndarray]]:
+    """Chains in which two of the given ones of different languages take turns, with the language of each word."""
+    rnd = np.random.default_rng(len(chains))
+    order = rnd.permutation(len(chains)).tolist()
+    made, truth = [], []
+    for a, b in zip(order, order[1:], strict=False):
+        if len(made) >= share * len(chains):
+            break
+        if gold[a] == gold[b]:
+            continue
+        words, names, at = [], [], [0, 0]
+        while at[0] < len(chains[a]) and at[1] < len(chains[b]) and len(words) < CHAIN:
+            for side, c in enumerate((a, b)):
+                part = chains[c][at[side] : at[side] + int(rnd.integers(5, stretch))]
+                at[side] += len(part)
+                words += part
+                names += [gold[c]] * len(part)
+        made.append(words)
+        truth.append(np.array(names))
+    return made, truth
+
+
 def train(rows: list[tuple[str, str]], rounds: int = 15, rate: float = 0.5, decay: float = 1e-4, least_seen: int = 3, lexicon: int = 2000) -> Crf:
     """A model from (text, language) rows, by full-batch gradient steps with per-weight rates."""
     labels = sorted({lang for _, lang in rows})
@@ -194,15 +219,19 @@ def train(rows: list[tuple[str, str]], rounds: int = 15, rate: float = 0.5, deca
     model = Crf(labels, index, np.zeros((len(index) + 1, len(labels))), np.zeros((len(labels), len(labels))))
     if not chains:
         return model
+    mixed, mixed_truth = switching(chains, gold)
+    truths = [np.full(len(c), g) for c, g in zip(chains, gold, strict=True)] + mixed_truth
+    chains = chains + mixed
     vocabulary = sorted(seen)
     number = {w: i for i, w in enumerate(vocabulary)}
     at = np.array([number[w] for c in chains for w in c])
     lengths = np.array([len(c) for c in chains])
-    truth = np.repeat(np.array(gold), lengths)
+    truth = np.concatenate(truths)
     flat, starts = model.features(vocabulary)
     owner = np.repeat(np.arange(len(vocabulary)), np.diff(np.r_[starts, len(flat)]))
     moves_seen = np.zeros_like(model.moves)
-    np.add.at(moves_seen, (np.array(gold), np.array(gold)), lengths - 1.0)
+    for t in truths:
+        np.add.at(moves_seen, (t[:-1], t[1:]), 1.0)
     scale, size = 1.0 / len(at), np.full_like(model.weights, 1e-8)
     size_moves = np.full_like(model.moves, 1e-8)
     for _ in range(rounds):
@@ -224,15 +253,20 @@ def held_out(row_id: str = "doc_id"):
     return F.expr(f"crc32(cast({row_id} as string)) % 4 = 2")
 
 
-def fit(docs: DataFrame, per_language: int = 120, text: str = "text", lang: str = "lang", row_id: str = "doc_id", **options) -> Crf:
-    """Train on at most ``per_language`` documents of each language, none of them held out."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(row_id), F.lit(False)))
+def fit(docs: DataFrame, per_language: int = 120, languages: int = 256, document_bytes: int = 1 << 18, text: str = "text", lang: str = "lang", row_id: str = "doc_id", **options) -> Crf:
+    """Train on at most ``per_language`` documents of each language, none of them held out.
+
+    What comes to the driver is bounded by the three parameters; a language
+    all of whose documents are longer than ``document_bytes`` is not learned.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= document_bytes) & ~F.coalesce(held_out(row_id), F.lit(False)))
     rows = rows.select(F.col(row_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(row_id).alias("h"), F.col(text).alias("text"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    near = F.lit(False)
-    for value, n in sorted(counts.items()):
-        near = near | ((F.col("lang") == value) & (F.col("h") <= common.hash_below(min(1.0, 3 * per_language / n))))
-    few = rows.where(near).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= per_language)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # of the smallest hashes only, as every task would send per_language texts of each language otherwise
+    most = F.expr(f"case when n <= {3 * per_language} then {(1 << 63) - 1}L else cast({3 * per_language}D / n * 18446744073709551616D - 9223372036854775808D as long) end")
+    limits = common.materialize(counts.select(F.col("lang").alias("__lang"), most.alias("__most")), "languages")
+    near = rows.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).where(F.col("h") <= F.col("__most"))
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).where(F.col("r") <= per_language)
     return train(sorted((r.text, r.lang) for r in few.select("text", "lang").collect()), **options)
 
 

@@ -1,6 +1,7 @@
 """Sharding, quality rules, secrets, dedup, near duplicates, packing and languages against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -570,6 +571,64 @@ def test_language_query(spark, docs_dir):
     assert found[902].lang_pred == "de" and found[903].lang_pred == "fr" and all(0 <= r.score <= 1 for r in found.values())
 
 
+def naive_marginals(model, words):
+    """Forward-backward in plain sums of products, word by word."""
+    k = len(model.labels)
+    flat, starts = model.features(words)
+    ends = [*starts[1:], len(flat)]
+    emit = [[math.exp(sum(float(model.weights[f, j]) for f in flat[a:b])) for j in range(k)] for a, b in zip(starts, ends, strict=True)]
+    move = [[math.exp(float(model.moves[i, j])) for j in range(k)] for i in range(k)]
+    ahead, back = [emit[0]], [[1.0] * k]
+    for e in emit[1:]:
+        row = [e[j] * sum(ahead[-1][i] * move[i][j] for i in range(k)) for j in range(k)]
+        ahead.append([x / sum(row) for x in row])
+    for e in emit[:0:-1]:
+        row = [sum(move[i][j] * e[j] * back[-1][j] for j in range(k)) for i in range(k)]
+        back.append([x / sum(row) for x in row])
+    both = [[a * b for a, b in zip(x, y, strict=True)] for x, y in zip(ahead, back[::-1], strict=True)]
+    return [[x / sum(row) for x in row] for row in both]
+
+
+def test_language_query_equals_naive_inference(spark, docs_dir):
+    rnd = random.Random(14)
+    rows = [(i, sentence(rnd, lang, rnd.randint(1, 25)), lang) for i in range(90) for lang in [rnd.choice(list(PARTS))]]
+    rows += [(100 + i, sentence(rnd, "en", 12) + " " + sentence(rnd, "fr", 12), None) for i in range(20)]
+    d = docs_dir(rows)
+    model = language.fit(spark.read.parquet(f"{d}/documents.parquet"))
+    spans = defaultdict(list)
+    for r in language.op7_language_spans(spark, d).collect():
+        spans[r.doc_id].append((r.start, r.end, r.lang))
+    for r in language.op7_language_crf(spark, d).collect():
+        text = rows[r.doc_id][1] if r.doc_id < 100 else rows[90 + r.doc_id - 100][1]
+        prob = naive_marginals(model, language.WORD.findall(text.lower()))
+        mean = [sum(x) / len(prob) for x in zip(*prob, strict=True)]
+        assert abs(max(mean) - r.score) < 1e-4 and mean[model.labels.index(r.lang_pred)] > max(mean) - 1e-4
+        best, at, want = [max(range(len(p)), key=p.__getitem__) for p in prob], language.word_places(text), []
+        for k, (a, b) in zip(best, at, strict=True):
+            if want and want[-1][2] == model.labels[k]:
+                want[-1] = (want[-1][0], b, want[-1][2])
+            else:
+                want.append((a, b, model.labels[k]))
+        if min(sorted(p)[-1] - sorted(p)[-2] for p in prob) > 1e-3:
+            assert spans[r.doc_id] == want
+
+
+def test_moves_are_learned_from_chains_that_change():
+    rnd = random.Random(8)
+    model = language.train([(sentence(rnd, lang, 60), lang) for lang in PARTS for _ in range(30)])
+    assert all(model.moves[i, i] > model.moves[i, j] for i in range(3) for j in range(3) if i != j)
+    chains, gold = [[f"{k}{i}" for i in range(50)] for k in "aabb"], [0, 0, 1, 1]
+    for words, truth in zip(*language.switching(chains, gold, share=1.0), strict=True):
+        assert len(words) == len(truth) and all((w[0] == "b") == bool(t) for w, t in zip(words, truth, strict=True)) and 0 < truth.sum() < len(truth)
+
+
+def test_training_is_bounded(spark):
+    rnd = random.Random(2)
+    rows = [(i, sentence(rnd, "en", 30), "en") for i in range(40)] + [(50 + i, sentence(rnd, "de", 30), "de") for i in range(30)] + [(90, "x" * 3000, "fr")]
+    df = table(spark, rows)
+    assert language.fit(df, document_bytes=2000).labels == ["de", "en"] and language.fit(df, languages=1).labels == ["en"]
+
+
 def test_code_switching_is_followed():
     rnd = random.Random(8)
     model = language.train([(sentence(rnd, lang, 60), lang) for lang in PARTS for _ in range(30)])
