@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.functions.draws import below, u32
+from driftgauge.functions.draws import below, u60
 from driftgauge.operators.rank_index import RankIndex
 from driftgauge.operators.samplers import BROADCAST_DRAWS
 from driftgauge.store import write_once
@@ -47,7 +47,7 @@ def random_match(sample: DataFrame, on: str, index: RankIndex, seed: int = 0, ta
     sample, stats = _narrowed(sample, stats, [(on, "__k")], draws)
     some = sample.join(stats, F.col(on) == F.col("__k"), "left").drop("__k")
     label = F.concat(F.col("stratum").cast("string"), F.lit(":"), F.col("__draw").cast("string"))
-    at = (F.col("lo_rank") + below(u32(seed, tag, label), F.coalesce("cnt", F.lit(1)))).alias("__at")
+    at = (F.col("lo_rank") + below(u60(seed, tag, label), F.coalesce("cnt", F.lit(1)))).alias("__at")
     keep = [c for c in (columns or index.rows.columns) if c != "rank" and c not in sample.columns]
     some = some.select(*sample.columns, "cnt", at)
     some, right = _narrowed(some, index.rows.select(F.col("rank").alias("__rank"), *keep), [("__at", "__rank")], draws)

@@ -17,7 +17,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.functions.draws import below, hash_block, md5_u32, u32, unit
+from driftgauge.functions.draws import below, hash_block, md5_u32, u32, u60, unit
 from driftgauge.operators.rank_index import RankIndex
 
 #: Draws up to which the draw table (three longs a row) is broadcast.
@@ -76,7 +76,7 @@ def draw_table(spark, strata: list[Stratum], seed, tag: str = "swr") -> DataFram
         draws = spark.range(n).select(F.lit(s).alias("stratum"), F.lit(lo).alias("lo"), F.lit(w).cast("long").alias("w"), F.col("id").alias("__draw"))
     else:
         draws = plan.select("stratum", "lo", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("__draw"))
-    number = u32(seed, tag, F.concat(F.col("stratum").cast("string"), F.lit(":"), F.col("__draw").cast("string")))
+    number = u60(seed, tag, F.concat(F.col("stratum").cast("string"), F.lit(":"), F.col("__draw").cast("string")))
     return draws.select("stratum", "__draw", (F.col("lo") + below(number, F.col("w"))).alias("rank"), F.col("w").cast("double").alias("__inv_prob"))
 
 

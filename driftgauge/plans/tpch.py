@@ -22,7 +22,7 @@ from driftgauge.operators import matches
 from driftgauge.operators.estimators import Agg, estimate, subsample_estimate
 from driftgauge.operators.rank_index import RankIndex, build_rank_index
 from driftgauge.operators.samplers import Stratum, scan_stratified, scan_uniform, swr, universe
-from driftgauge.streaming.online import OnlineAggregator
+from driftgauge.streaming.online import AqpResult, OnlineAggregator
 
 #: Draws, seed and confidence of the registered walks; rates of the registered scans.
 DRAWS, SEED, CONFIDENCE = 4000, 7, 0.95
@@ -95,8 +95,8 @@ SPECS: dict[str, Spec] = {
     "q3": Spec("customer, orders, lineitem", "c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < date '1998-03-15' AND l_shipdate > date '1998-03-15'",
                {"revenue": REVENUE}, "lineitem", "shipdate_julian", (_julian(1998, 3, 16), None), (_ORDERS, _CUSTOMER), "c_mktsegment = 'BUILDING' AND o_orderdate < date '1998-03-15'", _LO),
     "q4": Spec("orders, lineitem", "o_orderkey = l_orderkey AND o_orderdate >= date '1996-07-01' AND o_orderdate < date '1996-10-01' AND l_shipdate > o_orderdate + interval '30' day AND o_orderpriority = '1-URGENT'",
-               {"order_count": "1"}, "lineitem", "shipdate_julian", (_julian(1996, 7), _julian(1997, 3)), (_ORDERS,),
-               "o_orderdate >= date '1996-07-01' AND o_orderdate < date '1996-10-01' AND l_shipdate > o_orderdate + interval '30' day AND l_shipdate < timestamp '1997-03-01 00:00:00' AND o_orderpriority = '1-URGENT'", _LO),
+               {"order_count": "1"}, "lineitem", "shipdate_julian", (_julian(1996, 7), None), (_ORDERS,),
+               "o_orderdate >= date '1996-07-01' AND o_orderdate < date '1996-10-01' AND l_shipdate > o_orderdate + interval '30' day AND o_orderpriority = '1-URGENT'", _LO),
     "q5": Spec("customer, orders, lineitem, supplier, nation, region", "c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= date '1996-01-01' AND o_orderdate < date '1998-01-01'",
                {"revenue": REVENUE}, "lineitem", "shipdate_julian", _ALL, (_ORDERS, _CUSTOMER, _SUPPLIER, _S_NATION, Join("region", "n_regionkey", "r_regionkey")),
                "c_nationkey = s_nationkey AND r_name = 'ASIA' AND o_orderdate >= date '1996-01-01' AND o_orderdate < date '1998-01-01'", _LO),
@@ -114,7 +114,7 @@ SPECS: dict[str, Spec] = {
                {"sum_profit": f"{REVENUE} - ps_supplycost * l_quantity"}, "lineitem", "shipdate_julian", _ALL,
                (_ORDERS, _SUPPLIER, Join("partsupp", "l_partkey,l_suppkey", "ps_partkey,ps_suppkey"), _PART, _S_NATION), "p_name LIKE '%blue%' AND o_orderdate >= date '1996-01-01' AND o_orderdate <= date '1998-12-31'", _LO),
     "q10": Spec("customer, orders, lineitem, nation", "c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= date '1996-01-01' AND o_orderdate < date '1996-04-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey",
-               {"revenue": REVENUE}, "lineitem", "shipdate_julian", (_julian(1996, 1), _julian(1996, 9)), (_ORDERS, _CUSTOMER, Join("nation", "c_nationkey", "n_nationkey")),
+               {"revenue": REVENUE}, "lineitem", "shipdate_julian", _ALL, (_ORDERS, _CUSTOMER, Join("nation", "c_nationkey", "n_nationkey")),
                "o_orderdate >= date '1996-01-01' AND o_orderdate < date '1996-04-01' AND l_returnflag = 'R'", _LO),
     "q11": Spec("partsupp, supplier, nation", "ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7'",
                {"value": "ps_supplycost * ps_availqty"}, "partsupp", "ps_suppkey", _ALL, (Join("supplier", "ps_suppkey", "s_suppkey"), _S_NATION), "n_name = 'NATION_7'", {"partsupp": "ps_suppkey", "supplier": "s_suppkey"}),
@@ -235,22 +235,50 @@ def _walk_aggs(q: str) -> dict[str, Agg]:
 
 
 def pswr(q: str, seed: int = SEED) -> Callable[[SparkSession, str], DataFrame]:
-    """The walk in rounds, until the first measure's half-width is 5 % or the suite's budget is spent (a loop, beyond SQL)."""
+    """The walk in rounds, until the first measure's half-width is 5 % or the suite's budget is spent.
+
+    The result is the exact values and whether the run kept its promises: see :func:`AqpResult.facts`.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s, phase = SPECS[q], count()
-        agg = OnlineAggregator(index(spark, sf_dir, s.driver, s.key), AqpConf(progressive_round_size=PSWR_ROUND))
-        step = lambda drawn: walked(spark, sf_dir, q, drawn, PSWR_ROUND, seed, f"phase{next(phase)}|")
-        found = agg.run(_walk_aggs(q), PSWR_BUDGET, PSWR_PILOT, CONFIDENCE, rel_error=PSWR_ERROR, ranges={s.key: s.key_range}, seed=seed, extend=step)
-        return found.to_df(spark)
+        found = pswr_run(spark, sf_dir, q, seed)
+        register(spark, sf_dir, exact_sql(q))
+        return found.facts(spark.sql(_pswr_exact(q)), PSWR_BUDGET, PSWR_ERROR)
 
     return run
 
 
+def pswr_run(spark: SparkSession, sf_dir: str, q: str, seed: int = SEED) -> AqpResult:
+    s, phase = SPECS[q], count()
+    agg = OnlineAggregator(index(spark, sf_dir, s.driver, s.key), AqpConf(progressive_round_size=PSWR_ROUND))
+    step = lambda drawn: walked(spark, sf_dir, q, drawn, PSWR_ROUND, seed, f"phase{next(phase)}|")
+    return agg.run(_walk_aggs(q), PSWR_BUDGET, PSWR_PILOT, CONFIDENCE, rel_error=PSWR_ERROR, ranges={s.key: s.key_range}, seed=seed, extend=step)
+
+
+def _pswr_exact(q: str) -> str:
+    sums = ", ".join(f"round(cast(coalesce(sum({m}), 0) as double), 2) AS {n}" for n, m in SPECS[q].measures.items())
+    return f"SELECT {sums} {SPECS[q].body()}"
+
+
+def pswr_oracle(q: str) -> str:
+    sql = _pswr_exact(q)
+    return facts_oracle(f"WITH partsupp AS ({PARTSUPP}) {sql}" if "partsupp" in SPECS[q].sources else sql)
+
+
+def facts_oracle(exact: str) -> str:
+    """The exact values, beside promises that all hold."""
+    return f"SELECT *, {', '.join(f'true AS {n}' for n in AqpResult.PROMISES)} FROM ({exact})"
+
+
 def u32_sql(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+def below_sql(text: str, width: str) -> str:
+    """A uniform whole number below the width, of the text's first 60 MD5 bits."""
+    return f"CAST((CAST(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS HUGEINT) * {width}) // {1 << 60} AS BIGINT)"
+
+
 def _source_sql(name: str) -> str:
     if name == "lineitem":
         return f"(SELECT *, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + {tables.JULIAN_EPOCH} AS shipdate_julian FROM lineitem)"
@@ -274,8 +302,8 @@ def walk_oracle(q: str, n: int = DRAWS, seed: int = SEED) -> str:
         if j.many:
             ties = ", ".join(TIES[j.table])
             src = f"(SELECT *, row_number() OVER (PARTITION BY {j.right} ORDER BY {ties}) - 1 AS rk{k}, count(*) OVER (PARTITION BY {j.right}) AS cnt{k} FROM {src})"
-            u = u32_sql(f"'{seed}|match{k}|' || {label}")
-            on = f"{t}.{j.right} = {j.left} AND {t}.rk{k} = ({u} * {t}.cnt{k}) // 4294967296"
+            chosen = below_sql(f"'{seed}|match{k}|' || {label}", f"{t}.cnt{k}")
+            on = f"{t}.{j.right} = {j.left} AND {t}.rk{k} = {chosen}"
             weight += f" * cnt{k}"
         else:
             on = " AND ".join(f"{t}.{b} = {a}" for a, b in zip(j.left.split(","), j.right.split(","), strict=True))
@@ -286,11 +314,11 @@ def walk_oracle(q: str, n: int = DRAWS, seed: int = SEED) -> str:
     outs = ", ".join(
         f"round(sum({name}) / {n}, 2) AS {name}, round({Z} * sqrt(greatest(sum({name} * {name}) - sum({name}) * sum({name}) / {n}, 0) / ({n}.0 * ({n} - 1))), 2) AS {name}_half_ci" for name in s.measures
     )
-    u = u32_sql(f"'{seed}|swr|' || {label}")
+    drawn = below_sql(f"'{seed}|swr|0:' || CAST(range AS VARCHAR)", "w")
     return f"""
 WITH idx AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS rank FROM {_source_sql(s.driver)} WHERE {s.key} IS NOT NULL),
 b AS (SELECT min(rank) AS lo, count(*) AS w FROM idx WHERE {inside}),
-d AS (SELECT range AS dr, w, lo + ({u.replace("dr", "range")} * w) // 4294967296 AS rank FROM range({n}), b),
+d AS (SELECT range AS dr, w, lo + {drawn} AS rank FROM range({n}), b),
 s AS (SELECT d.dr, d.w, idx.* EXCLUDE (rank) FROM d JOIN idx ON d.rank = idx.rank),
 x AS (SELECT {xs} FROM s{joins})
 SELECT {outs} FROM x"""
@@ -405,5 +433,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {f"tpch_{q}_exact": exact_oracle(q) for q in SPECS} | {f"tpch_{q}_walk": walk_oracle(q) for q in SPECS}
+    found |= {f"tpch_{q}_pswr": pswr_oracle(q) for q in SPECS}
     found |= {f"tpch_{q}_universe": universe_oracle(q) for q, s in SPECS.items() if s.universe}
     return found | {f"tpch_{q}_{'stratified' if st else 'uniform'}": scan_oracle(q, st) for q in SCANS for st in (False, True)}

@@ -22,7 +22,7 @@ from driftgauge.operators.estimators import Agg, estimate, subsample_estimate
 from driftgauge.operators.rank_index import RankIndex, build_rank_index
 from driftgauge.operators.samplers import Stratum, scan_stratified, swr, swr_strata
 from driftgauge.plans import tpch
-from driftgauge.plans.tpch import Z, u32_sql
+from driftgauge.plans.tpch import Z, below_sql, facts_oracle, u32_sql
 from driftgauge.streaming.online import OnlineAggregator
 
 SEED, DRAWS, STRATA, CONFIDENCE = 11, 3000, 10, 0.95
@@ -110,13 +110,13 @@ def strata_query(w: Workload) -> Callable[[SparkSession, str], DataFrame]:
 
 def strata_oracle(w: Workload, strata: int = STRATA) -> str:
     n = DRAWS // strata
-    u = u32_sql(f"'{SEED}|swr|' || CAST(k AS VARCHAR) || ':' || CAST(dr AS VARCHAR)")
+    drawn = below_sql(f"'{SEED}|swr|' || CAST(k AS VARCHAR) || ':' || CAST(dr AS VARCHAR)", "w")
     x = f"CASE WHEN {w.residual} THEN CAST({w.measure} AS DOUBLE) * w ELSE 0 END"
     return f"""
 WITH idx AS ({_ranked_sql(w)}),
 b AS (SELECT min(rank) AS lo, count(*) AS n FROM idx WHERE {w.key} >= {w.low} AND {w.key} < {w.high}),
 s AS (SELECT range AS k, lo + n * range // {strata} AS a, lo + n * (range + 1) // {strata} - (lo + n * range // {strata}) AS w FROM range({strata}), b),
-d AS (SELECT k, w, a + ({u} * w) // 4294967296 AS rank FROM s, (SELECT range AS dr FROM range({n}))),
+d AS (SELECT k, w, a + {drawn} AS rank FROM s, (SELECT range AS dr FROM range({n}))),
 x AS (SELECT k, {x} AS x FROM d JOIN idx USING (rank)),
 t AS (SELECT k, sum(x) AS s, sum(x * x) AS ss FROM x GROUP BY k)
 SELECT round(sum(s) / {n}, 2) AS y, round({Z} * sqrt(sum(greatest(ss - s * s / {n}, 0) / ({n}.0 * ({n} - 1)))), 2) AS y_half_ci FROM t"""
@@ -157,18 +157,58 @@ p AS (SELECT sum(m / vprob) / count(*) * sum(count(*)) OVER () AS e, count(*) AS
 SELECT round(sum(e * n) / sum(n), 2) AS y, round(stddev_samp(e) * sqrt(avg(n)) / sqrt(sum(n)) * 1.96, 2) AS y_err FROM p"""
 
 
+PSWR_BUDGET, PSWR_PILOT, PSWR_ERROR = 60_000, 2000, 0.05
+
+
 def pswr_query(w: Workload, strategy: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Progressive sampling to a relative half-width of 5 % (a loop, beyond SQL)."""
+    """Progressive sampling to a relative half-width of 5 %: the exact value, and whether the run kept its promises."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         conf = AqpConf(progressive_round_size=20_000, **STRATEGIES[strategy])
         agg = OnlineAggregator(index(spark, sf_dir, w), conf)
-        found = agg.run({"y": _agg(w)}, budget=60_000, n0=2000, rel_error=0.05, ranges={w.key: (w.low, w.high)}, predicate=F.expr(w.residual), seed=SEED)
-        return found.to_df(spark)
+        found = agg.run({"y": _agg(w)}, PSWR_BUDGET, PSWR_PILOT, CONFIDENCE, rel_error=PSWR_ERROR, ranges={w.key: (w.low, w.high)}, predicate=F.expr(w.residual), seed=SEED)
+        rows = source(spark, sf_dir, w).where(f"{w.residual} AND {w.key} >= {w.low} AND {w.key} < {w.high}")
+        return found.facts(rows.select(F.round(F.coalesce(F.sum(F.expr(w.measure)), F.lit(0)).cast("double"), 2).alias("y")), PSWR_BUDGET, PSWR_ERROR)
+
+    return run
+
+
+def pswr_oracle(w: Workload) -> str:
+    return facts_oracle(f"SELECT round(CAST(coalesce(sum({w.measure}), 0) AS DOUBLE), 2) AS y FROM ({_ranked_sql(w)}) WHERE {w.residual} AND {w.key} >= {w.low} AND {w.key} < {w.high}")
+
+
+#: A run that no target ends: its pilot, and the draws of each round.
+ROUNDS = (2000, 4000, 4000)
+
+
+def rounds_query(w: Workload, strategy: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A pilot and two rounds of progressive sampling: the estimate, its half-width and the draws."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        conf = AqpConf(progressive_round_size=ROUNDS[1], **STRATEGIES[strategy])
+        agg = OnlineAggregator(index(spark, sf_dir, w), conf)
+        found = agg.run({"y": _agg(w)}, sum(ROUNDS), ROUNDS[0], CONFIDENCE, abs_error=0.0, ranges={w.key: (w.low, w.high)}, predicate=F.expr(w.residual), seed=SEED)
+        return found.to_df(spark).select(F.round("y", 2).alias("y"), F.round("y_half_ci", 2).alias("y_half_ci"), "draws", "accepted")
 
     return run
 
 
+def rounds_oracle(w: Workload, strata: int) -> str:
+    """The same draws by phase and stratum, and the phases weighted by their draws."""
+    drawn = below_sql(f"'{SEED}|' || tag || '|' || CAST(k AS VARCHAR) || ':' || CAST(dr AS VARCHAR)", "w")
+    total = sum(ROUNDS)
+    phases = ", ".join(f"('{'phase' + str(i + 1) if i else 'pilot'}', {n}, {strata if i else 1})" for i, n in enumerate(ROUNDS))
+    return f"""
+WITH idx AS ({_ranked_sql(w)}),
+b AS (SELECT min(rank) AS lo, count(*) AS n FROM idx WHERE {w.key} >= {w.low} AND {w.key} < {w.high}),
+s AS (SELECT tag, m, m // ks AS draws, range AS k, lo + n * range // ks AS a, lo + n * (range + 1) // ks - (lo + n * range // ks) AS w FROM (VALUES {phases}) p(tag, m, ks), b, range({strata}) WHERE range < ks),
+d AS (SELECT tag, m, draws, k, w, a + {drawn} AS rank FROM s, (SELECT range AS dr FROM range({max(ROUNDS)})) WHERE dr < draws),
+x AS (SELECT tag, m, draws, k, CASE WHEN {w.residual} THEN 1 ELSE 0 END AS hit, CASE WHEN {w.residual} THEN CAST({w.measure} AS DOUBLE) * w ELSE 0 END AS x FROM d JOIN idx USING (rank)),
+t AS (SELECT tag, m, draws, k, sum(x) AS s, sum(x * x) AS ss, sum(hit) AS hits FROM x GROUP BY ALL),
+p AS (SELECT m, sum(s / draws) AS mean, sum(greatest(ss - s * s / draws, 0) / (draws * (draws - 1.0))) AS var, sum(hits) AS hits FROM t GROUP BY tag, m)
+SELECT round(sum(mean * m) / {total}, 2) AS y, round({Z} * sqrt(sum(var * (m / {total}.0) * (m / {total}.0))), 2) AS y_half_ci, {total} AS draws, sum(hits) AS accepted FROM p"""
+
+
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = WORKLOADS["tpch"]
     idx = index(spark, sf_dir, w)
@@ -179,13 +219,13 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grouped_oracle() -> str:
     w, n = WORKLOADS["tpch"], DRAWS
-    u = u32_sql(f"'{SEED}|swr|0:' || CAST(range AS VARCHAR)")
+    drawn = below_sql(f"'{SEED}|swr|0:' || CAST(range AS VARCHAR)", "w")
     cols = {"rows": "1", "qty": "l_quantity", "flags": "CASE WHEN l_linestatus <> 'F' THEN 1 ELSE 0 END"}
     outs = ", ".join(f"round(sum({c} * p) / {n}, 2) AS {k}, round({Z} * sqrt((sum({c} * p * {c} * p) - sum({c} * p) * sum({c} * p) / {n}) / ({n}.0 * ({n} - 1))), 2) AS {k}_half_ci" for k, c in cols.items())
     return f"""
 WITH idx AS ({_ranked_sql(w)}),
 b AS (SELECT min(rank) AS lo, count(*) AS w FROM idx WHERE {w.key} >= {w.low} AND {w.key} < {w.high}),
-d AS (SELECT CAST(w AS DOUBLE) AS p, lo + ({u} * w) // 4294967296 AS rank FROM range({n}), b)
+d AS (SELECT CAST(w AS DOUBLE) AS p, lo + {drawn} AS rank FROM range({n}), b)
 SELECT l_returnflag, {outs} FROM d JOIN idx USING (rank) WHERE l_quantity < 40 GROUP BY l_returnflag"""
 
 
@@ -205,11 +245,11 @@ def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _draws_oracle() -> str:
     w = WORKLOADS["census"]
-    u = u32_sql(f"'{SEED}|swr|0:' || CAST(range AS VARCHAR)")
+    drawn = below_sql(f"'{SEED}|swr|0:' || CAST(range AS VARCHAR)", "w")
     return f"""
 WITH idx AS ({_ranked_sql(w)}),
 b AS (SELECT min(rank) AS lo, count(*) AS w FROM idx WHERE {w.key} >= {w.low} AND {w.key} < {w.high}),
-d AS (SELECT range AS draw, CAST(w AS DOUBLE) AS inv_prob, lo + ({u} * w) // 4294967296 AS rank FROM range(500), b)
+d AS (SELECT range AS draw, CAST(w AS DOUBLE) AS inv_prob, lo + {drawn} AS rank FROM range(500), b)
 SELECT draw, rank, p_partkey, inv_prob, {w.residual} AS accepted FROM d JOIN idx USING (rank)"""
 
 
@@ -243,6 +283,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for k, w in WORKLOADS.items():
         found |= {f"{k}_swr": swr_query(w), f"{k}_strata": strata_query(w), f"{k}_key_stratified": key_stratified_query(w)}
         found |= {f"{k}_pswr_{s}": pswr_query(w, s) for s in STRATEGIES}
+        found |= {f"{k}_rounds_{s}": rounds_query(w, s) for s in ("uniform", "equal")}
     return found
 
 
@@ -250,4 +291,6 @@ def oracle_sql() -> dict[str, str]:
     found = {f"sample_{k}": sql for k, (_, sql) in SAMPLERS.items() if sql}
     for k, w in WORKLOADS.items():
         found |= {f"{k}_swr": strata_oracle(w, 1), f"{k}_strata": strata_oracle(w), f"{k}_key_stratified": key_stratified_oracle(w)}
+        found |= {f"{k}_pswr_{s}": pswr_oracle(w) for s in STRATEGIES}
+        found |= {f"{k}_rounds_uniform": rounds_oracle(w, 1), f"{k}_rounds_equal": rounds_oracle(w, STRATEGIES["equal"]["dp_intervals_count"])}
     return found

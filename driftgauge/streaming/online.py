@@ -82,6 +82,25 @@ class AqpResult:
         rows = [(*map(str, g), *[x for n in self.names for x in v[n]], self.draws, self.accepted, self.met) for g, v in self.values.items()]
         return spark.createDataFrame(rows, ", ".join(fields))
 
+    #: Promises of a run: see :meth:`facts`.
+    PROMISES = ("near_exact", "in_budget", "target_as_told", "strata_cover_range")
+
+    def facts(self, exact: DataFrame, budget: int, rel_error: float, widths: float = 4.0) -> DataFrame:
+        """``exact`` (one row of exact values by name) beside what a run promises, none of which depends on the draws.
+
+        ``near_exact``: every exact value lies within so many half-widths of its
+        estimate; where nothing counted there is no half-width and no claim.
+        ``target_as_told``: ``met`` says what the first half-width says. The last
+        round's strata are a partition of the key range.
+        """
+        row = exact.first()
+        spans = sorted((s.lo, s.hi) for s in self.strata)
+        joined = all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        told = self.met if not self.weight else self.met == (self.value()[1] is not None and self.value()[1] <= rel_error * abs(self.value()[0]))
+        near = all(half is None or abs(row[n] - value) <= widths * half + 0.01 for n in self.names for value, half in [self.value(n)])
+        kept = (near, self.draws <= budget, told, not spans or (joined and spans[-1][1] - spans[0][0] == self.weight))
+        return exact.select("*", *[F.lit(bool(v)).alias(n) for n, v in zip(self.PROMISES, kept, strict=True)])
+
     def explain(self) -> str:
         head = f"Sampling: PSWR ({self.draws}) on {self.key}, weight {self.weight}, strategy {self.strategy}, target {'met' if self.met else 'not met'}"
         lines = [f"  phase {r.phase}: {r.strata} strata, {r.draws} draws, {r.accepted} accepted, estimate {r.estimate:.6g}, half-width {'-' if r.half_width is None else format(r.half_width, '.6g')}, {r.seconds:.2f} s{'' if r.kept else ', discarded'}" for r in self.rounds]
@@ -242,8 +261,8 @@ class OnlineAggregator:
             need = left if unknown() else allocate.draws_needed(strata, stats, z, target)
             n = max(2 * len(strata), min(conf.progressive_round_size, need, budget - result.draws))
             strata = allocate.cap(allocate.allocate(strategy, stats, n, conf), budget - result.draws)
-            strata = [s for s in strata if s.draws > 0]
-            if not strata or any(s.draws < 2 for s in strata):
+            strata = [s for s in strata if s.weight > 0]
+            if not strata or any(s.draws < 2 for s in strata):  # a stratum without draws would be left out of the estimate
                 if budget - result.draws < 2:
                     break
                 strata = allocate.uniform(lo, hi, min(n, budget - result.draws))

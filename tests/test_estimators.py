@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftgauge import tables
 from driftgauge.conf import AqpConf
+from driftgauge.functions import draws
 from driftgauge.functions.stats import clt_half_width, erf_column, erf_inv, erf_inv_column
 from driftgauge.operators import allocate, matches, samplers
 from driftgauge.operators.estimators import Agg, approx_count, approx_sum, combine_phases, estimate, inv_sample_prob, ratio, running_sample_size, sample_prob, stratum_stats
@@ -239,3 +240,18 @@ def test_ratio_and_notice(spark, index, caplog):
     assert "N=50" in caplog.text
     assert running_sample_size(sample).agg(F.max("__running_n")).first()[0] == 3000
     assert sample.select(F.sum(sample_prob() * inv_sample_prob())).first()[0] == pytest.approx(3000)
+
+
+def test_ranks_beyond_32_bits(spark):
+    """Draws reach every rank of a range wider than 2^32, and are exact products."""
+    import hashlib
+
+    width = (1 << 52) + 12_345
+    numbers = spark.range(3000).select(draws.u60(5, "wide", F.col("id")).alias("u"))
+    rows = numbers.select("u", draws.below(F.col("u"), F.lit(width)).alias("at"), draws.below(F.col("u"), F.lit(7)).alias("few")).collect()
+    assert [r.u for r in rows[:5]] == [int(hashlib.md5(f"5|wide|{i}".encode()).hexdigest()[:15], 16) for i in range(5)]
+    assert all(r.at == r.u * width >> 60 and r.few == r.u * 7 >> 60 for r in rows)
+    assert len({r.at for r in rows}) == 3000 and len({r.at % (1 << 20) for r in rows}) > 2900
+    assert abs(sum(r.at for r in rows) / 3000 / width - 0.5) < 0.03
+    top = spark.range(1).select(draws.below(F.lit((1 << 60) - 1), F.lit(1 << 60)).alias("x")).first().x
+    assert top == (1 << 60) - 1
