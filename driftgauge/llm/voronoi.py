@@ -42,7 +42,7 @@ LEAF = 256
 PIVOTS, PIVOT_SHINGLES = 64, 1 << 22
 #: Documents that one task measures against a copy of the pivots, or compares with as many others.
 SPAN = 256
-BLOCK = 1024
+BLOCK = 512
 #: Rounds, after which whatever is left is compared in blocks.
 ROUNDS = 12
 #: A cut is worth it if it leaves at most this share of the comparisons.
