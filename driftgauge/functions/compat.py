@@ -18,13 +18,24 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def with_ties(df: DataFrame, n: int, order: list[str], descending: bool = False) -> DataFrame:
     """FETCH FIRST n ROWS WITH TIES: the n first rows and all that tie with the last of them.
 
-    The sort keys of the first n rows come from a bounded top-n; no global
-    window is needed.
+    The sort keys of the n-th row are found by a top-n over the keys alone; one
+    row is broadcast, and no global window is needed.
     """
     keys = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     by = [nulls_largest(F.col(c), descending) for c in order]
-    last = df.orderBy(*by).limit(n).select(keys.alias("__last")).distinct()
-    return df.join(F.broadcast(last), keys.eqNullSafe(F.col("__last")), "left_semi")  # at most n rows
+    # the last of the n first: one row, whatever n
+    first = df.select(*order).orderBy(*by).limit(n)
+    back = [c.desc_nulls_last() if not descending else c.asc_nulls_first() for c in map(F.col, order)]
+    last = first.orderBy(*back).limit(1).select(keys.alias("__last"))
+    tests = []
+    for i, c in enumerate(order):
+        here, edge = F.col(c), F.col(f"__last.k{i}")
+        less = (here > edge) if descending else (here < edge)
+        sooner = (here.isNull() & edge.isNotNull()) if descending else (here.isNotNull() & edge.isNull())
+        same = reduce(Column.__and__, [F.col(o).eqNullSafe(F.col(f"__last.k{k}")) for k, o in enumerate(order[:i])], F.lit(True))
+        tests.append(same & (F.coalesce(less, F.lit(False)) | sooner))
+    tests.append(reduce(Column.__and__, [F.col(o).eqNullSafe(F.col(f"__last.k{k}")) for k, o in enumerate(order)]))
+    return df.join(F.broadcast(last), reduce(Column.__or__, tests), "left_semi")
 
 
 def groups_frame(df: DataFrame, value: Column, by: list[str], order: str, before: int, after: int, out: str) -> DataFrame:
@@ -34,11 +45,30 @@ def groups_frame(df: DataFrame, value: Column, by: list[str], order: str, before
     return peers.withColumn(out, F.sum(value).over(frame)).drop("__g")
 
 
-def exclude_current(value: Column, window) -> Column:
-    """sum(value) over a frame that excludes the current row."""
-    total, n = F.sum(value).over(window), F.count(value).over(window)
-    own = F.coalesce(value, value * 0)
-    return F.when(n - F.when(value.isNotNull(), 1).otherwise(0) > 0, total - F.coalesce(own, total * 0))
+def exclude_current(value: Column, by, before: int, after: int) -> Column:
+    """sum(value) over rows from ``before`` preceding to ``after`` following without the current one.
+
+    ``by`` is a window specification without a frame. The parts before and after the row are
+    added, as taking the row's value from the whole would lose digits, or all where it is infinite.
+    """
+    parts = [F.sum(value).over(by.rowsBetween(a, z)) for a, z in ((-before, -1), (1, after)) if a <= z]
+    if len(parts) < 2:
+        return parts[0] if parts else F.lit(None).cast("double")
+    return F.coalesce(parts[0] + parts[1], *parts)
+
+
+def moving_sum(value: Column, by, rows: int) -> Column:
+    """sum(value) over the current row and ``rows`` - 1 before it, as a difference of running sums.
+
+    That takes the leaving row back out, as an inverse transition does: the work does not grow with the
+    frame. For whole numbers and decimals; nulls count as nothing, and a frame of nulls is null.
+    """
+    def running(x: Column, until: int) -> Column:
+        return F.coalesce(F.sum(x).over(by.rowsBetween(Window.unboundedPreceding, until)), F.lit(0))
+
+    seen = value.isNotNull().cast("long")
+    some = running(seen, 0) - running(seen, -rows) > 0
+    return F.when(some, running(value, 0) - running(value, -rows))
 
 
 def similar_pattern(pattern: str, escape: str = "\\") -> str:

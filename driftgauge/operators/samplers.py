@@ -22,6 +22,8 @@ from driftgauge.operators.rank_index import RankIndex
 
 #: Draws up to which the draw table (three longs a row) is broadcast.
 BROADCAST_DRAWS = 100_000
+#: Rows that a sample may bring through one task; of larger ones, a share of 2^-SAMPLE_BITS of the table does.
+TOP_ROWS, SAMPLE_BITS = 100_000, 16
 #: A sampler is called inefficient when it accepts less than one draw in so many.
 ATTEMPTS_PER_ACCEPTED = 1000
 
@@ -139,7 +141,20 @@ def system_rows(df: DataFrame, n: int, by: list[str], seed: int = 0) -> DataFram
     Small n is a bounded top-n; the n itself is the method's argument.
     """
     n = checked_size(n)
-    return df.withColumn("__u", u32(seed, "rows", _row_text(by))).orderBy("__u", *by).limit(n).drop("__u")
+    drawn = df.withColumn("__u", u32(seed, "rows", _row_text(by)))
+    if n <= TOP_ROWS:
+        return drawn.orderBy("__u", *by).limit(n).drop("__u")
+    # many rows: all of the bins below the n-th row's, and the first ones of its bin alone are put in order
+    bin_ = F.shiftright("__u", 32 - SAMPLE_BITS)
+    below_, last = 0, None
+    for r in sorted(drawn.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect()):
+        if below_ + r.n >= n:
+            last = r.bin
+            break
+        below_ += r.n
+    if last is None:
+        return df
+    return drawn.where(bin_ < last).union(drawn.where(bin_ == last).orderBy("__u", *by).limit(n - below_)).drop("__u")
 
 
 def system_time(df: DataFrame, millis: float, by: list[str], seed: int = 0, blocks: int = 64) -> DataFrame:

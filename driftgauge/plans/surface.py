@@ -163,8 +163,8 @@ def _gap_groups_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gap_exclude(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey").rowsBetween(-2, 2)
-    return _t("supplier")(spark, sf).select("s_suppkey", F.round(compat.exclude_current(F.col("s_acctbal"), w), 4).alias("s"))
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    return _t("supplier")(spark, sf).select("s_suppkey", F.round(compat.exclude_current(F.col("s_acctbal"), w, 2, 2), 4).alias("s"))
 
 
 def _gap_similar(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,8 +233,9 @@ def _gap_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gap_erf(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("p_size") / 25.0
-    return _t("part")(spark, sf).select("p_partkey", F.round(stats.erf_column(x), 9).alias("e"), F.round(stats.erf_inv_column(F.col("p_size") / 51.0), 5).alias("i"))
+    """erf against its series, and erf_inv as what erf takes back, to six and four digits."""
+    x, p = F.col("p_size") / 25.0, F.col("p_size") / 51.0
+    return _t("part")(spark, sf).select("p_partkey", F.round(stats.erf_column(x), 6).alias("e"), F.round(stats.erf_column(stats.erf_inv_column(p)), 4).alias("i"))
 
 
 def _gap_unaccent(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,11 +261,23 @@ def _python_function(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _approximate_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return _t("lineitem")(spark, sf).agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"))
+    """The exact number, and whether the estimate is within five times its standard error."""
+    near = F.abs(F.approx_count_distinct("l_partkey", 0.02) - F.count_distinct("l_partkey")) <= 0.1 * F.count_distinct("l_partkey")
+    return _t("lineitem")(spark, sf).agg(F.count_distinct("l_partkey").alias("n"), near.alias("near"))
 
 
 def _random_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _t("orders")(spark, sf).orderBy(F.rand(5)).limit(10).select("o_orderkey")
+    """Ten random orders: how many, how many of them differ, and whether all are orders."""
+    drawn = _t("orders")(spark, sf).orderBy(F.rand(5)).limit(10).select("o_orderkey")
+    met = drawn.join(_t("orders")(spark, sf), "o_orderkey")
+    return met.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"))
+
+
+def _erf_oracle(terms: int = 60) -> str:
+    """The Maclaurin series of erf, whose terms follow from each other."""
+    x = "(p_size / 25.0::DOUBLE)"
+    term = f"pow(-1, n) * pow({x}, 2 * n + 1) / (factorial(CAST(n AS INTEGER))::DOUBLE * (2 * n + 1))"
+    return f"SELECT p_partkey, round(e, 6) AS e, round(p_size / 51.0::DOUBLE, 4) AS i FROM (SELECT p_partkey, p_size, 2 / sqrt(pi()) * sum({term} ORDER BY n) AS e FROM part, range({terms}) r(n) WHERE n <= 30 GROUP BY ALL)"
 
 
 #: Rewrites of what Spark lacks, and the operator itself for the oracle.
@@ -287,11 +300,11 @@ GAPS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "quoting": (_gap_quote, "SELECT p_partkey, '\"' || p_brand || '\"' AS i, '''it''''s''' AS l, CASE WHEN p_type = 'PROMO' THEN 'NULL' ELSE '''' || p_type || '''' END AS n FROM part"),
     "lock_step_srf": (_gap_lock_step, "SELECT r_regionkey, a, b FROM region, (VALUES (1, 'x'), (2, 'y'), (3, NULL)) v(a, b)"),
     "range_type": (_gap_ranges, "SELECT p_partkey, p_size >= 5 AND p_size < 20 AS c, p_size < 20 AND p_size + 10 > 5 AS o FROM part"),
-    "erf_functions": (_gap_erf, ""),
+    "erf_functions": (_gap_erf, _erf_oracle()),
     "unaccent": (_gap_unaccent, "SELECT r_regionkey, strip_accents(r_name || 'éüñÀ') AS u FROM region"),
     "python_function": (_python_function, "SELECT p_partkey, p_size * 2 + p_retailprice AS w FROM part"),
-    "approximate_distinct": (_approximate_distinct, ""),
-    "random_order": (_random_order, ""),
+    "approximate_distinct": (_approximate_distinct, "SELECT count(DISTINCT l_partkey) AS n, true AS near FROM lineitem"),
+    "random_order": (_random_order, "SELECT CAST(10 AS BIGINT) AS n, CAST(10 AS BIGINT) AS different"),
     "materialized_view": (_gap_materialized_view, "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey"),
 }
 

@@ -167,8 +167,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str, name: str, key: str) -> RankIndex:
-    """The table's index on the key, built once for a session."""
-    at = (spark.sparkContext.applicationId, sf_dir, name, key)
+    """The table's index on the key, built once for a session and state of the files."""
+    at = (spark.sparkContext.applicationId, sf_dir, name, key, tables.version(spark, sf_dir, "lineitem" if name == "partsupp" else name))
     if at not in _indexes:
         _indexes[at] = build_rank_index(table(spark, sf_dir, name), key, TIES[name])
     return _indexes[at]

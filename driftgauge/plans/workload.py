@@ -67,7 +67,7 @@ def source(spark: SparkSession, sf_dir: str, w: Workload) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str, w: Workload) -> RankIndex:
     if w.table in tpch.TIES:  # the suite's indexes are of the same tables
         return tpch.index(spark, sf_dir, w.table, w.key)
-    at = (spark.sparkContext.applicationId, sf_dir, w.table, w.key)
+    at = (spark.sparkContext.applicationId, sf_dir, w.table, w.key, tables.version(spark, sf_dir, w.table))
     if at not in _indexes:
         _indexes[at] = build_rank_index(source(spark, sf_dir, w), w.key, w.tie)
     return _indexes[at]

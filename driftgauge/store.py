@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="driftgauge-")
         atexit.register(shutil.rmtree, made, True)
         context.setCheckpointDir(f"file://{made}")

@@ -41,6 +41,8 @@ from driftgauge.operators.samplers import Stratum, swr_strata, warn_rejections
 _log = logging.getLogger(__name__)
 #: Rounds that got worse before the loop goes back.
 BAD_ROUNDS = 1
+#: Rows of sums (groups times strata) that a round may bring to the driver.
+MOST_ROWS = 200_000
 #: Below so many draws a pilot is all there is, where ``pswr_to_swr`` is on.
 SMALL_PILOT = 1000
 
@@ -141,13 +143,15 @@ class OnlineAggregator:
         """Estimates of ``aggs``; the first one's half-width is the one that is watched (the widest group's).
 
         ``extend`` takes the drawn rows and returns them joined with further
-        tables, with ``__inv_prob`` and ``__accepted`` adjusted. ``all_equal``
-        says that the predicate fixes the whole key: one phase, no strata.
+        tables, with ``__inv_prob`` and ``__accepted`` adjusted. Where the
+        range holds a single key, which ``all_equal`` may also say, there is
+        nothing to divide: all rounds are of one phase without strata.
         """
         if (abs_error is None) == (rel_error is None):
             raise ValueError("give exactly one of abs_error and rel_error")
         conf, by, names = self.conf, by or [], list(aggs)
         index, (lo, hi) = self.choose(ranges or {})
+        all_equal = all_equal or _single(ranges, index.key)
         strategy = "uniform" if all_equal else conf.strategy
         result = AqpResult(names, by, {}, 0, 0, index.key, hi - lo, strategy)
         if hi <= lo:
@@ -161,6 +165,12 @@ class OnlineAggregator:
             drawn = swr_strata(index, strata, seed, predicate, tag=tag)
             return extend(drawn) if extend else drawn
 
+        def bounded(stats: DataFrame) -> list:
+            found = stats.limit(MOST_ROWS + 1).collect() if by else stats.collect()
+            if len(found) > MOST_ROWS:
+                raise ValueError(f"more than {MOST_ROWS} groups and strata: group by less, or estimate in one phase, whose result stays distributed")
+            return found
+
         def measure(rows: list, strata: list[Stratum]) -> dict:
             n_of = {s.number: s.draws for s in strata}
             out: dict[tuple, dict[str, list[float]]] = {}
@@ -205,7 +215,7 @@ class OnlineAggregator:
 
         def take(strata: list[Stratum], tag: str, phase: int) -> None:
             began = time.monotonic()
-            rows = stratum_stats(sample(strata, tag), aggs, by).collect()
+            rows = bounded(stratum_stats(sample(strata, tag), aggs, by))
             phases.append(measure(rows, strata))
             accepted = sum(r["__accepted_n"] or 0 for r in rows)
             result.draws += phases[-1]["draws"]
@@ -223,7 +233,7 @@ class OnlineAggregator:
             began = time.monotonic()
             whole = [Stratum(0, lo, hi, n)]
             drawn = sample(whole, tag).withColumn("__cell", F.floor((F.col("rank") - F.lit(cuts[0])) * k / F.lit(hi - lo)).cast("int"))
-            cells = stratum_stats(drawn, aggs, [*by, "__cell"]).collect()
+            cells = bounded(stratum_stats(drawn, aggs, [*by, "__cell"]))
             merged: dict[tuple, dict] = {}
             for r in cells:
                 key = (*(r[b] for b in by), r.stratum)
@@ -248,7 +258,7 @@ class OnlineAggregator:
             strategy = result.strategy = "uniform"
         stats = allocate.PrefixStats.from_cells(cuts, m, sx, sxx)
         phase, bad = 2, 0
-        while not enough() and result.draws < budget and not all_equal:
+        while not enough() and result.draws < budget:
             left = budget - result.draws
             if not sxx.any() and left >= 2:  # nothing met so far: no ground for strata
                 explore(min(max(2, conf.progressive_round_size), left), f"phase{phase}", phase)
@@ -259,15 +269,16 @@ class OnlineAggregator:
             target = abs_error if abs_error is not None else rel_error * abs(mean)
             strata = allocate.allocate(strategy, stats, min(conf.progressive_round_size, budget - result.draws), conf)
             need = left if unknown() else allocate.draws_needed(strata, stats, z, target)
-            n = max(2 * len(strata), min(conf.progressive_round_size, need, budget - result.draws))
+            # a quarter of what there is at least: where the statistics promise too much, rounds stay few
+            n = max(2 * len(strata), min(conf.progressive_round_size, max(need, result.draws // 4), budget - result.draws))
             strata = allocate.cap(allocate.allocate(strategy, stats, n, conf), budget - result.draws)
             strata = [s for s in strata if s.weight > 0]
             if not strata or any(s.draws < 2 for s in strata):  # a stratum without draws would be left out of the estimate
                 if budget - result.draws < 2:
                     break
                 strata = allocate.uniform(lo, hi, min(n, budget - result.draws))
-            take(strata, f"phase{phase}", phase)
-            result.strata = strata
+            take(strata, f"phase{phase}", 1 if all_equal else phase)
+            result.strata = [] if all_equal else strata
             _, now = width()
             if conf.enable_pswr_switch_to_uniform and strategy != "uniform" and last is not None and (now is None or now > last):
                 bad += 1
@@ -285,6 +296,14 @@ class OnlineAggregator:
         return result
 
 
+def _single(ranges: dict[str, tuple] | None, key: str) -> bool:
+    """Whether the range holds one whole number, or one value and no more."""
+    low, high = (ranges or {}).get(key) or (None, None)
+    if low is None or high is None:
+        return False
+    return high == low + 1 if isinstance(low, int) else isinstance(low, str) and high == low + "\0"
+
+
 class _Row(dict):
     """A dict that is read like a row."""
 

@@ -18,6 +18,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int, int]:
+    """Files, bytes and last change of a table, by which an index of an older state is known."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.listStatus(path))
+    return len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
+
+
 def julian(day) -> F.Column:
     return F.datediff(day, F.lit("1970-01-01").cast("date")) + JULIAN_EPOCH
 

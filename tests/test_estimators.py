@@ -172,7 +172,9 @@ def test_online_stops_and_falls_back(skewed):
     small = OnlineAggregator(skewed, AqpConf(pswr_to_swr=True)).run(aggs, 900, 100, abs_error=0.1, predicate=late)
     assert small.strategy == "uniform"
     one = OnlineAggregator(skewed).run(aggs, 900, 500, abs_error=0.1, predicate=late, all_equal=True)
-    assert len(one.rounds) == 1
+    assert {r.phase for r in one.rounds} == {1} and one.strategy == "uniform" and not one.strata
+    some = OnlineAggregator(skewed, AqpConf(optimization_strategy=2)).run({"s": aggs["s"]}, 900, 500, abs_error=0.0, ranges={"day": (3, 4)})
+    assert {r.phase for r in some.rounds} == {1} and some.strategy == "uniform" and some.draws == 900
     grouped = OnlineAggregator(skewed).run(aggs, 3000, 1000, abs_error=1.0, by=["late"])
     assert sum(v["n"][0] for v in grouped.values.values()) == pytest.approx(skewed.weight, rel=1e-6)
     with pytest.raises(ValueError):
@@ -255,3 +257,22 @@ def test_ranks_beyond_32_bits(spark):
     assert abs(sum(r.at for r in rows) / 3000 / width - 0.5) < 0.03
     top = spark.range(1).select(draws.below(F.lit((1 << 60) - 1), F.lit(1 << 60)).alias("x")).first().x
     assert top == (1 << 60) - 1
+
+
+def test_large_samples_do_not_pass_one_task(spark, monkeypatch):
+    df = spark.range(3000).withColumn("v", F.col("id") * 2)
+    want = samplers.system_rows(df, 777, ["id"], 5).collect()
+    monkeypatch.setattr(samplers, "TOP_ROWS", 10)
+    monkeypatch.setattr(samplers, "SAMPLE_BITS", 6)
+    assert sorted(samplers.system_rows(df, 777, ["id"], 5).collect()) == sorted(want)
+    assert samplers.system_rows(df, 5000, ["id"], 5).count() == 3000
+
+
+def test_indexes_follow_their_files(spark, tmp_path):
+    from driftgauge.plans import tpch
+
+    part = tables.load(spark, SF, "part").cache()
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    assert tpch.index(spark, str(tmp_path), "part", "p_size").weight == part.count()
+    part.limit(50).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+    assert tpch.index(spark, str(tmp_path), "part", "p_size").weight == 50

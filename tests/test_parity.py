@@ -5,10 +5,10 @@ import math
 import pytest
 from engine_tables import SF
 
-from driftgauge.plans import surface, templates, tpch, workload
+from driftgauge.plans import extras, surface, templates, tpch, workload
 
-QUERIES = workload.queries() | tpch.queries() | templates.queries() | surface.queries()
-ORACLES = workload.oracle_sql() | tpch.oracle_sql() | templates.oracle_sql() | surface.oracle_sql()
+QUERIES = workload.queries() | tpch.queries() | templates.queries() | surface.queries() | extras.queries()
+ORACLES = workload.oracle_sql() | tpch.oracle_sql() | templates.oracle_sql() | surface.oracle_sql() | extras.oracle_sql()
 
 
 def plain(v):

@@ -60,3 +60,24 @@ def test_large_tables_are_met_by_their_keys(spark, index):
         assert sorted(map(repr, drawn_large.select(*cols).collect())) == sorted(map(repr, drawn.select(*cols).collect()))
     finally:
         spark.conf.set(key, before)
+
+
+def test_bucketed_tables_need_no_exchange(spark):
+    from driftgauge.plans import extras
+
+    for query in (extras.partitionwise_join, extras.partitionwise_aggregate):
+        df = query(spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and df.count() > 0
+
+
+def test_moving_sums_take_back(spark):
+    """A frame of any length is two running sums."""
+    from pyspark.sql import Window
+
+    from driftgauge.functions import compat
+
+    df = spark.range(2000).select("id", (F.col("id") * 7 % 13).alias("v"))
+    by = Window.orderBy("id")
+    frame = by.rowsBetween(-499, 0)
+    assert df.select((compat.moving_sum(F.col("v"), by, 500) == F.sum("v").over(frame)).alias("same")).where("not same").count() == 0

@@ -23,7 +23,7 @@ def session(spark):
     return s
 
 
-def test_text_helpers():
+def test_text_helpers(spark):
     assert split_top("a, f(b, c), 'x,y'", ",") == ["a", "f(b, c)", "'x,y'"]
     assert split_top("x BETWEEN 1 AND 5 AND y = 2", "AND") == ["x BETWEEN 1 AND 5", "y = 2"]
     assert constant("50*200") == 10000 and constant("(1 + 2) / 4") == 0.75
@@ -110,3 +110,107 @@ def test_compat_values(spark):
     assert df.groupBy("g").agg(compat.array_agg(F.col("v")).alias("a")).first().a == [2.0, 4.0, None]
     assert compat.hypothetical_dense_rank(df, F.col("v"), F.lit(4.0)).first()[0] == 2
     assert compat.hypothetical_percent_rank(df, F.col("v"), F.lit(4.0)).first()[0] == 0.5
+
+
+def test_key_ranges():
+    from datetime import date, datetime
+
+    from driftgauge.plans.sqlfront import _equal_columns, _key_ranges
+
+    keys = {"k": "long", "d": "date", "s": "string", "x": "double", "t": "timestamp"}
+    one = lambda *c: _key_ranges(list(c), keys, _equal_columns(list(c)))
+    assert one("k >= 3", "(k < 9 AND y = 1)") == ({"k": (3, 9)}, ["y = 1"])
+    assert one("5 <= k", "7 > k") == ({"k": (5, 7)}, [])
+    assert one("k IN (4, 9, 2)") == ({"k": (2, 10)}, ["k IN (4, 9, 2)"])
+    assert one("k BETWEEN 2 AND 4", "z BETWEEN 1 AND 2") == ({"k": (2, 5)}, ["z BETWEEN 1 AND 2"])
+    assert one("(k, y) > (3, 5)") == ({"k": (3, None)}, ["(k, y) > (3, 5)"])
+    assert one("(k, y) < (3, 5)") == ({"k": (None, 4)}, ["(k, y) < (3, 5)"])
+    assert one("k = other", "other = 7") == ({"k": (7, 8)}, ["k = other", "other = 7"])
+    assert one("d >= date '2024-01-05'", "d <= date '2024-02-01'") == ({"d": (date(2024, 1, 5), date(2024, 2, 2))}, [])
+    assert one("s = 'it''s'") == ({"s": ("it's", "it's\0")}, []) and one("s = 5") == ({}, ["s = 5"])
+    assert one("t < timestamp '2024-01-01 10:00:00'") == ({"t": (None, datetime(2024, 1, 1, 10))}, [])
+    low, high = one("x > 1.5", "x <= 2")[0]["x"]
+    assert 1.5 < low < 1.5000001 and 2 < high < 2.0000001
+    assert one("k >= 'a'", "k + 1 > 3", "NOT k = 3") == ({}, ["k >= 'a'", "k + 1 > 3", "NOT k = 3"])
+
+
+def test_key_ranges_in_text(session, spark):
+    base = "select approx_count(*) as n from part tablesample pswr(4000, 500, 0.05, 0.95) where "
+    for where in ("p_size in (3, 40)", "(p_size, p_partkey) <= (20, 100)", "p_size between 5 and 9 and p_type = 'PROMO'"):
+        out = session.sql(base + where).first().n
+        truth = tables.load(spark, SF, "part").where(where if not where.startswith("(") else "p_size < 20 or (p_size = 20 and p_partkey <= 100)").count()
+        assert abs(out - truth) <= max(5, 0.25 * truth), where
+
+
+def test_string_and_date_keys(spark):
+    from driftgauge.operators.estimators import approx_count
+    from driftgauge.streaming.online import OnlineAggregator
+
+    orders = tables.load(spark, SF, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    s = AqpSession(spark, AqpConf(error_mode="relative"))
+    s.register("orders", orders, ["o_orderkey"], [build_rank_index(orders, "day", ["o_orderkey"]), build_rank_index(orders, "o_orderpriority", ["o_orderkey"])])
+    for where in ("day >= date '1996-01-01' and day < date '1997-01-01'", "o_orderpriority = '2-HIGH'"):
+        n = s.sql(f"select approx_count(*) as n from orders tablesample pswr(4000, 500, 0.05, 0.95) where {where}").first().n
+        assert n == orders.where(where).count()  # the range says it all: every draw stands for the same weight
+    index = build_rank_index(orders, "o_orderpriority", ["o_orderkey"])
+    r = OnlineAggregator(index, AqpConf(optimization_strategy=2)).run({"n": approx_count()}, 1000, 100, abs_error=0.5, ranges={"o_orderpriority": ("2-HIGH", "2-HIGH\0")})
+    assert r.strategy == "uniform" and not r.strata
+
+
+def test_copy_options(spark, tmp_path):
+    schema = "id int, name string, note string"
+    df = spark.createDataFrame([(1, "a,b", None), (2, 'q"x', ""), (3, None, "n")], schema).coalesce(1)
+    copy_to(df, str(tmp_path / "some"), header=True, force_quote=["name"])
+    lines = [x for p in sorted((tmp_path / "some").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == ["id,name,note", '1,"a,b",', '2,"q""x",""', "3,,n"]
+    copy_to(df, str(tmp_path / "all"), force_quote=True)
+    assert [x for p in sorted((tmp_path / "all").glob("part-*")) for x in p.read_text().splitlines()][0] == '"1","a,b",'
+    back = copy_from(spark, str(tmp_path / "some"), schema, header="match")
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [(1, "a,b", None), (2, 'q"x', ""), (3, None, "n")]
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        copy_from(spark, str(tmp_path / "some"), "id int, wrong string, note string", header="match").collect()
+    forced = copy_from(spark, str(tmp_path / "some"), schema, header=True, force_not_null=["name"], force_null=["note"])
+    assert {r.id: (r.name, r.note) for r in forced.collect()} == {1: ("a,b", None), 2: ('q"x', None), 3: ("", "n")}
+
+
+def test_cursor_edges(spark):
+    from driftgauge.plans.cursor import Cursor
+
+    c = Cursor(spark.range(10).select(F.col("id").alias("x")), ["x"])
+    assert c.fetch(-1) == [] and [r[0] for r in c.fetch(3)] == [0, 1, 2] and c.move(100) == 7 and c.fetch(1) == []
+    assert [r[0] for r in c.fetch(-2)] == [9, 8] and c.fetch_absolute(4)[0] == 3 and c.fetch_absolute(40) is None and c.fetch_absolute(-10)[0] == 0
+    assert Cursor(spark.range(0), ["id"]).fetch(2) == []
+
+
+def test_text_search_queries(spark):
+    from driftgauge.functions import textsearch
+
+    one = spark.createDataFrame([("The quick brown fox, the QUICK dog",)], "t string")
+    ask = lambda q: one.select(textsearch.matches(textsearch.to_tsvector(F.col("t")), q)).first()[0]
+    assert ask("quick <-> brown <-> fox") and ask("quick <2> fox") and not ask("brown <-> quick") and ask("!(cat | cow) & do:*") and not ask("fox & cat")
+    for bad in ("quick brown", "quick &", "(quick", "<-> fox", "a ? b"):
+        with pytest.raises(ValueError):
+            ask(bad)
+    v = one.select(textsearch.to_tsvector(F.col("t"), ("the",)).alias("v")).first().v
+    assert [(r.word, r.place) for r in v] == [("brown", 3), ("dog", 7), ("fox", 4), ("quick", 2), ("quick", 6)]
+
+
+def test_values_of_missing_types(spark):
+    from driftgauge.functions import hashes, values
+
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert value(values.money(F.lit("($1,234.567)"))) == -value(values.money(F.lit("$1234.57"))) and value(values.money(F.lit("x"))) is None
+    assert value(values.inet(F.lit("1.2.3.400"))) is None and value(values.network(values.inet(F.lit("192.168.5.77/20")))) == "192.168.0.0/20"
+    assert value(hashes.hash_int8(F.lit(12345))) == value(hashes.hash_int4(F.lit(12345)))
+    assert value(hashes.hash_int8(F.lit(-12345))) == value(hashes.hash_int4(F.lit(-12345)))
+
+
+def test_exclude_current_of_infinite_rows(spark):
+    import math
+
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(1, 1.0), (2, math.inf), (3, 2.0), (4, None), (5, math.nan)], "i int, v double")
+    got = [r.s for r in df.select("i", compat.exclude_current(F.col("v"), Window.orderBy("i"), 1, 1).alias("s")).orderBy("i").collect()]
+    assert got[0] == math.inf and got[1] == 3.0 and got[2] == math.inf and math.isnan(got[3]) and got[4] is None
