@@ -68,10 +68,17 @@ class _Tape:
         return at
 
 
+_INT32 = 1 << 30
+
+
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places start, start + 1, .. of every span, end to end."""
     before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+    total = int(lengths.sum())
+    small = np.int32 if total < _INT32 and int(starts.max(initial=0)) < _INT32 else np.int64
+    out = np.repeat((starts - before).astype(small), lengths)
+    out += np.arange(total, dtype=small)
+    return out
 
 
 class PieceTable:
@@ -133,7 +140,10 @@ class PieceTable:
         sure = np.flatnonzero(same)
         if len(sure):
             n = lengths[sure]
-            equal = data[_spans(starts[sure], n)] == self.text.values[_spans(origin[sure], n)]
+            # pieces mostly lie end to end
+            whole = len(sure) == len(starts) and bool((starts[1:] == ends[:-1]).all())
+            here = data[starts[0] : ends[-1]] if whole else data[_spans(starts[sure], n)]
+            equal = here == self.text.values[_spans(origin[sure], n)]
             if not equal.all():
                 same[sure] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
         other = np.flatnonzero(~same)
