@@ -1,8 +1,15 @@
 """Corpus pipeline: quality rules, exact dedup, near-duplicate join, secret scan, packing.
 
 Every stage but the last takes and returns rows with the columns of
-``documents``; the last returns the packing plan. ``run`` applies them in order,
-each result written as Parquet in the shared folder and read again.
+``documents``, and any others the table has, whatever their names; the last
+returns the packing plan. ``run`` applies them in order, each result written as
+Parquet in the shared folder and read again.
+
+Null and empty texts have no words, so that the first stage rejects them; a
+later stage that is given them keeps them. Rows with a null id are judged and
+scanned by their text, lose against a copy that has an id, and link with nothing.
+Of rows repeated as they are, one stays after ``exact_dedup``. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -19,8 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stats = quality.text_statistics(docs.select("doc_id", body.alias("text"), F.xxhash64(body).alias("__digest")))
     stats = common.materialize(stats, "quality-statistics")
     rules = quality.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = quality.judge(stats, rules).where("not kept").select(F.col("doc_id").alias("__id"), F.col("__digest").alias("__bad"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__bad")), "left_anti")
+    bad_id, bad = common.fresh(docs, "__id", "__bad")
+    rejected = quality.judge(stats, rules).where("not kept").select(F.col("doc_id").alias(bad_id), F.col("__digest").alias(bad))
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64(body) == F.col(bad)), "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +39,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram join, that of the smallest id."""
     found = ngram_join.join_components(docs)
-    extra = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(extra, "doc_id", "left_anti")
+    (extra_id,) = common.fresh(docs, "__extra")
+    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias(extra_id))
+    return docs.join(extra, docs.doc_id == F.col(extra_id), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +66,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Learned rules, the join and the packing are beyond SQL; the tests hold run() against a brute-force version.
+#: Learned rules and the packing are beyond SQL; tests/llm/test_pipeline.py holds every stage and run() against plain Python.
 ORACLE_SQL = None
 
 
