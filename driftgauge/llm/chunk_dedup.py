@@ -146,10 +146,11 @@ def exact_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", na
 
 def drop_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    staying = _groups(docs, text, row_id, NAME_BYTES).where("kept").select(F.col("id").alias("__stay"), F.col("body").alias("__body"))
-    some = docs.join(staying, F.col(row_id).cast("long").eqNullSafe(F.col("__stay")) & (_body(text) == F.col("__body")), "left_semi")
+    stay, body, number = common.fresh(docs, "__stay", "__body", "__twin")
+    staying = _groups(docs, text, row_id, NAME_BYTES).where("kept").select(F.col("id").alias(stay), F.col("body").alias(body))
+    some = docs.join(staying, F.col(row_id).cast("long").eqNullSafe(F.col(stay)) & (_body(text) == F.col(body)), "left_semi")
     twin = F.row_number().over(Window.partitionBy(row_id, _body(text)).orderBy(row_id))
-    return some.withColumn("__twin", twin).where("__twin = 1").drop("__twin")
+    return some.withColumn(number, twin).where(F.col(number) == 1).drop(number)
 
 
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,10 +172,12 @@ def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFra
 def redact(docs: DataFrame, text: str = "text", row_id: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; other columns and rows stay as they are."""
     columns = docs.columns
-    spans = scan(docs, text, row_id).where(F.size("__spans") > 0).dropDuplicates([row_id, "__digest"]).select(F.col(row_id).alias("__s_id"), F.col("__digest").alias("__s_digest"), "__spans")
+    its_id, its_digest, its_spans = common.fresh(docs, "__s_id", "__s_digest", "__s_spans")
+    found = scan(docs.select(row_id, text), text, row_id).where(F.size("__spans") > 0).dropDuplicates([row_id, "__digest"])
+    spans = found.select(F.col(row_id).alias(its_id), F.col("__digest").alias(its_digest), F.col("__spans").alias(its_spans))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    hit = docs.join(spans, F.col(row_id).eqNullSafe(F.col("__s_id")) & (F.xxhash64(body) == F.col("__s_digest")), "left")
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))))
+    hit = docs.join(spans, F.col(row_id).eqNullSafe(F.col(its_id)) & (F.xxhash64(body) == F.col(its_digest)), "left")
+    ordered = F.array_sort(F.transform(its_spans, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))))
 
     def cut(raw: Column) -> Column:
         plain = lambda at, n: F.substring(raw, at + 1, n).cast("string")
@@ -192,7 +194,7 @@ def redact(docs: DataFrame, text: str = "text", row_id: str = "doc_id", mark: st
         return let(ordered, of_spans)
 
     redacted = let(body.cast("binary"), cut)
-    return hit.select(*[(F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redacted).alias(text) if c == text else F.col(c)) for c in columns])
+    return hit.select(*[(F.when(F.col(its_spans).isNull(), F.col(text)).otherwise(redacted).alias(text) if c == text else F.col(c)) for c in columns])
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

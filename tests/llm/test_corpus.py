@@ -661,34 +661,3 @@ def test_forward_backward_equals_enumeration():
 def test_nothing_to_learn(spark, docs_dir):
     d = docs_dir([(1, "some words here", None)])
     assert [r.lang_pred for r in language.op7_language_crf(spark, d).collect()] == ["und"]
-
-
-# pipeline
-
-
-def test_pipeline_against_its_parts(spark, docs_dir):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    rnd = random.Random(6)
-    fresh = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 6))) for _ in range(n))
-    good = [(i, fresh(120)) for i in range(40)]
-    copies = [(100 + i, good[i][1].replace(" ", "  ", 3)) for i in range(6)]
-    near = [(200 + i, good[10 + i][1].rsplit(" ", 2)[0] + " other words") for i in range(6)]
-    bad = [(300 + i, " ".join(x + "###" for x in fresh(90).split())) for i in range(30)] + [(400, "few words"), (401, None)]
-    leak = [(500, fresh(60) + " password: 'sup3rs3cret' " + fresh(60))]
-    labels = [(i, 1, 0) for i, _ in good] + [(300 + i, 0, 0) for i in range(0, 30, 2)]
-    d = docs_dir(good + copies + near + bad + leak, labels, clashes=False)
-    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), {}
-    for name, stage in pipeline.STAGES[:-1]:
-        out = stage(spark, docs, d)
-        assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-        kept[name] = {r.doc_id for r in docs.collect()}
-    good_ids = {i for i, _ in good}
-    assert kept["quality_rules"] == good_ids | {100 + i for i in range(6)} | {200 + i for i in range(6)} | {500}
-    assert kept["exact_dedup"] == kept["quality_rules"] - {100 + i for i in range(6)}
-    assert kept["near_duplicates"] == kept["secret_scan"] == good_ids | {500}
-    row = docs.where("doc_id = 500").first()
-    assert "sup3r" not in row.text and "[SECRET]" in row.text and row.n_chars == len(row.text)
-    packed = pipeline.run(spark, d)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == good_ids | {500}
-    assert packed.agg(F.max(F.col("bin_offset") + F.col("piece_units"))).first()[0] <= packing.CAPACITY
