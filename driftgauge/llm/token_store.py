@@ -10,7 +10,7 @@ bytes, so that the store works on every file system Spark can reach:
     ``first_id``, ``last_id``, ``n_docs``, ``n_tokens``, ``tokens_before`` (in
     the bucket), and ``block``, the bytes described at :data:`HEADER`.
 
-Buckets are ranges of ``doc_id``, so (bucket, seq, position in block) is the
+Buckets are ranges of ``doc_id`` (or parts of the rows of one frequent id), so (bucket, seq, position in block) is the
 order of ``doc_id``, nulls first. In a block every document is a zstandard
 frame of its own, compressed with the shared dictionary; the offset index at
 the block's head gives access to one short document without the others.
@@ -26,6 +26,7 @@ import hashlib
 import os
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -92,22 +93,23 @@ def _deserialize(raw: bytes, width: int) -> bytes:
     return raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, size: int = 112_640, sample_rows: int = 1000, sample_bytes: int = 65_536) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, size: int = 112_640, sample_rows: int = 1000, sample_bytes: int = 65_536, rows: int | None = None) -> bytes:
     """A zstandard dictionary for serialized id arrays.
 
     Fitted on at most ``sample_rows`` documents (those of the smallest hash of
     ``doc_id`` among texts of up to ``sample_bytes`` bytes); it changes the
     size of the store, never its contents. With too few samples the dictionary
-    is their plain contents, with none it is empty.
+    is their plain contents, with none it is empty. ``rows`` is the number of
+    documents where it is known.
     """
     import zstandard
 
     # of the smallest hashes only, as every task would send sample_rows texts to the driver otherwise
-    place, share = F.xxhash64("doc_id"), min(1.0, 3 * sample_rows / max(docs.count(), 1))
+    place, share = F.xxhash64("doc_id"), min(1.0, 3 * sample_rows / max(docs.count() if rows is None else rows, 1))
     few = docs.where((place <= common.hash_below(share)) & F.octet_length("text").between(1, sample_bytes))
-    rows = few.orderBy(place, "doc_id").limit(sample_rows).select("text").collect()
+    texts = few.orderBy(place, "doc_id").limit(sample_rows).select("text").collect()
     encoder = IdEncoder.shared(tokenizer)
-    samples = [_serialize(ids, end_id, encoder.width) for ids in encoder(r.text.encode() for r in rows)]
+    samples = [_serialize(ids, end_id, encoder.width) for ids in encoder(r.text.encode() for r in texts)]
     if not samples:
         return b""
     try:
@@ -163,17 +165,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json"
     Texts are encoded and compressed where they are read; one shuffle then
     carries the compressed frames to ranges of ``doc_id``. The ranges come from
     approximate quantiles of ``doc_id`` alone, as a range exchange would
-    otherwise encode everything twice to sample its keys.
+    otherwise encode everything twice to sample its keys. Rows of an id that is
+    several quantiles (or null) come in any order, so that they are dealt over
+    as many buckets by their frames.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    raw_dict = train_dictionary(docs, tokenizer, end_id, **dictionary)
+    rows, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    raw_dict = train_dictionary(docs, tokenizer, end_id, rows=rows, **dictionary)
     dict_hash = hashlib.sha256(raw_dict).digest()
     spark.createDataFrame([(bytearray(dict_hash), bytearray(raw_dict))], "hash binary, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     n = common.shuffle_partitions(spark)
     buckets = 4 * n
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    quantiles = Counter(docs.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets))
+    cuts, often = sorted(quantiles), {int(v): k for v, k in quantiles.items() if k > 1} | {None: max(1, buckets * (rows - named) // max(rows, 1))}
+    stride = 2 * buckets  # of a range's own buckets
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_left
@@ -188,7 +195,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json"
             for found in encoder(x.as_buffer().to_pybytes() for x in batch.column(1)):
                 counts.append(len(found) + 1)
                 frames.append(compress(_serialize(found, end_id, encoder.width)))
-            places = [-1 if x is None else bisect_left(cuts, x) for x in ids.to_pylist()]
+            places = []
+            for x, frame in zip(ids.to_pylist(), frames, strict=True):
+                first = 0 if x is None else (bisect_left(cuts, x) + 1) * stride
+                places.append(first + (1 + zlib.crc32(frame) % often[x] if x in often else 0))
             yield pa.record_batch([pa.array(places, pa.int32()), ids, pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

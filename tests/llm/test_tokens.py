@@ -154,3 +154,18 @@ def test_count_query(spark, docs_dir):
     library = MODELS["large"][1]
     got = sorted(((r.doc_id or 0), r.n_tokens) for r in viterbi_counts.op9_token_counts(spark, docs_dir(EDGES)).collect())
     assert got == sorted(((d or 0), len(library.encode(t or "").ids)) for d, t in EDGES)
+
+
+def test_rows_of_one_id_are_dealt_over_buckets(spark, tmp_path):
+    rows = [(None, f"text {i}") for i in range(150)] + [(70, f"other {i}") for i in range(150)] + [(i, f"own {i}") for i in range(100)]
+    path = str(tmp_path / "store")
+    token_store.write_store(table(spark, rows), path)
+    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    assert len({b.bucket for b in blocks if b.last_id is None}) > 2 and len({b.bucket for b in blocks if b.first_id == b.last_id == 70}) > 2
+    found = token_store.read_store(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in found if r.doc_id is not None] == sorted(d for d, _ in rows if d is not None) and [r.doc_id for r in found[:150]] == [None] * 150
+    assert sorted((r.doc_id or -1, list(r.ids)) for r in found) == sorted((d or -1, [*ids_of(t), 2]) for d, t in rows)
+    at = 0
+    for r in found:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += r.n_tokens
