@@ -56,7 +56,7 @@ def test_progressive_suite_reaches_its_target(spark, q):
     """A selective walk and one with several matches, against the exact sum."""
     first = next(iter(tpch.SPECS[q].measures))
     truth = tpch.exact(q)(spark, SF).first()[first]
-    row = tpch.queries()[f"tpch_{q}_pswr"](spark, SF).first()
+    row = tpch.pswr_run(spark, SF, q).to_df(spark).first()
     half = row[f"{first}_half_ci"]
     assert row["met"] and 100_000 <= row["draws"] <= tpch.PSWR_BUDGET
     assert 0 < half <= 0.05 * row[first] and abs(row[first] - truth) < 2 * half
