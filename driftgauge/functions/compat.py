@@ -112,6 +112,27 @@ def hypothetical_percent_rank(df: DataFrame, value: Column, of: Column, by: list
     return df.groupBy(*(by or [])).agg((F.sum(F.when(value < of, 1).otherwise(0)) / F.count(value)).alias(out))
 
 
+def hypothetical_cume_dist(df: DataFrame, value: Column, of: Column, by: list[str] | None = None, out: str = "cume_dist") -> DataFrame:
+    return df.groupBy(*(by or [])).agg(((F.sum(F.when(value <= of, 1).otherwise(0)) + 1) / (F.count("*") + 1)).alias(out))
+
+
+def exclude_peers(value: Column, partition: list[str], order: list[str], ties_only: bool = False) -> Column:
+    """sum(value) over a partition EXCLUDE GROUP, or EXCLUDE TIES, which leaves the row itself in."""
+    whole, peers = F.sum(value).over(Window.partitionBy(*partition)), F.sum(value).over(Window.partitionBy(*partition, *order))
+    n = F.count(value).over(Window.partitionBy(*partition)) - F.count(value).over(Window.partitionBy(*partition, *order))
+    rest = F.when(n > 0, whole - F.coalesce(peers, whole * 0))
+    return F.coalesce(rest + value, rest, value) if ties_only else rest
+
+
+def xml_table(xml: Column, row: str, columns: dict[str, str]) -> Column:
+    """XMLTABLE: an array of structs, one for each element at the path ``row``; a column is an attribute or path below it.
+
+    Every row must have every column, as paths are looked up one by one.
+    """
+    found = [F.xpath(xml, F.lit(f"{row}/{path}")).alias(name) for name, path in columns.items()]
+    return F.arrays_zip(*found)
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor; 92 steps of Euclid's rule are enough for 64 bits, and stop early in value."""
     start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))

@@ -59,6 +59,17 @@ class RankIndex:
         return hi - lo
 
 
+def append(index: RankIndex, more: DataFrame, tie: list[str] | tuple[str, ...]) -> RankIndex:
+    """The index of its rows and more of the same columns, in a new place; the old one stays valid for who still reads it.
+
+    Ranks of all later keys move, so that the rows are exchanged and written
+    anew: for a table that grows by days, an index for each stretch of time and
+    one estimate for each (they add up like strata) is cheaper.
+    """
+    kept = [c for c in index.rows.columns if c != "rank"]
+    return build_rank_index(index.rows.select(*kept).unionByName(more.select(*kept)), index.key, tie)
+
+
 def build_rank_index(df: DataFrame, key: str, tie: list[str] | tuple[str, ...], columns: list[str] | None = None) -> RankIndex:
     """An index of ``df`` on ``key``. ``columns`` keeps only those (an index that covers its queries is narrower)."""
     kind = df.schema[key].dataType.typeName()

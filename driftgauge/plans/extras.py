@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgauge import tables
 from driftgauge.conf import AqpConf
 from driftgauge.functions import bits, compat, hashes, textsearch, values
+from driftgauge.operators import samplers
 from driftgauge.operators.estimators import Agg
+from driftgauge.operators.rank_index import append, build_rank_index
 from driftgauge.plans import tpch
 from driftgauge.plans.cursor import Cursor
 from driftgauge.sources.bucketed import BucketedTable
 from driftgauge.sources.custom import custom_scan, series_provider
+from driftgauge.sources.files import read_jdbc
+from driftgauge.store import write_once
 from driftgauge.streaming.online import OnlineAggregator
 
 _load = tables.load
@@ -162,6 +168,111 @@ def single_key(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("n", (F.round(F.lit(found.value()[0])).cast("long") == F.col("n")).alias("exact"), F.lit(phases <= {1} and not found.strata and found.strategy == "uniform" or not found.weight).alias("one_phase"))
 
 
+def hypothetical_family(spark: SparkSession, sf: str) -> DataFrame:
+    t, value, of = _load(spark, sf, "customer"), F.col("c_acctbal"), F.lit(5000.0)
+    out = compat.hypothetical_dense_rank(t, value, of, ["c_mktsegment"])
+    out = out.join(compat.hypothetical_percent_rank(t, value, of, ["c_mktsegment"]), "c_mktsegment").join(compat.hypothetical_cume_dist(t, value, of, ["c_mktsegment"]), "c_mktsegment")
+    return out.select("c_mktsegment", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"), F.round("cume_dist", 9).alias("cume_dist"))
+
+
+def excluded_peers(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    return _load(spark, sf, "part").select("p_partkey", compat.exclude_peers(size, ["p_brand"], ["p_type"]).alias("g"), compat.exclude_peers(size, ["p_brand"], ["p_type"], True).alias("t"))
+
+
+_FRAME = "OVER (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE"
+
+
+def xml_rows(spark: SparkSession, sf: str) -> DataFrame:
+    xml = F.concat(F.lit("<a>"), F.concat_ws("", *[F.concat(F.lit(f'<r k="{i}"><v>'), F.col("n_name"), F.lit(f"-{i}</v></r>")) for i in range(3)]), F.lit("</a>"))
+    rows = _load(spark, sf, "nation").select("n_nationkey", F.explode(compat.xml_table(xml, "a/r", {"k": "@k", "v": "v/text()"})).alias("r"))
+    return rows.select("n_nationkey", F.col("r.k").cast("int").alias("k"), F.col("r.v").alias("v"))
+
+
+def appended_index(spark: SparkSession, sf: str) -> DataFrame:
+    part = _load(spark, sf, "part")
+    first = build_rank_index(part.where("p_partkey % 3 > 0"), "p_size", ("p_partkey",))
+    return append(first, part.where("p_partkey % 3 = 0"), ("p_partkey",)).rows.select("p_partkey", "p_size", "rank")
+
+
+def _index_ids(spark: SparkSession, sf: str, key: str, low: int, high: int) -> DataFrame:
+    """Ids of the rows in a key range, from the index alone: a range of ranks."""
+    idx = build_rank_index(_load(spark, sf, "part"), key, ("p_partkey",), columns=[key, "p_partkey"])
+    lo, hi = idx.bounds((low, high))
+    return idx.rows.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select("p_partkey")
+
+
+def index_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Two index scans, whose row ids are met (AND) or put together (OR) before the table is read."""
+    size, key = _index_ids(spark, sf, "p_size", 10, 20), _index_ids(spark, sf, "p_partkey", 1, 200)
+    table = _load(spark, sf, "part").select("p_partkey", "p_brand")
+    return table.join(size.intersect(key), "p_partkey", "left_semi").withColumn("kind", F.lit("and")).union(table.join(size.union(key).distinct(), "p_partkey", "left_semi").withColumn("kind", F.lit("or")))
+
+
+def materialized_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """An intermediate result that is written once and read twice."""
+    totals = write_once(_load(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "materialize")
+    most = totals.agg(F.max("n").alias("n"))
+    return totals.join(F.broadcast(most), "n").select("o_custkey", "n")
+
+
+def identity_column(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers 1, 2, .. in an order, from partition counts: no row passes through one task."""
+    idx = build_rank_index(_load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", ("o_orderkey",))
+    return idx.rows.select("o_orderkey", (F.col("rank") + 1).alias("id"))
+
+
+def interval_and_enum_aggregates(spark: SparkSession, sf: str) -> DataFrame:
+    days = F.make_dt_interval(F.col("p_size"))
+    seconds = lambda i: (F.extract(F.lit("DAY"), i) * 86400 + F.extract(F.lit("HOUR"), i) * 3600 + F.extract(F.lit("MINUTE"), i) * 60 + F.extract(F.lit("SECOND"), i)).cast("double")
+    order = ["SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO", "STANDARD"]
+    place = values.enum_place(F.col("p_type"), order)
+    return _load(spark, sf, "part").groupBy("p_brand").agg(F.round(seconds(F.sum(days)), 2).alias("s"), F.round(seconds(F.avg(days)), 0).alias("a"), F.min_by("p_type", place).alias("lo"), F.max_by("p_type", place).alias("hi"))
+
+
+_ENUM = "CASE p_type WHEN 'SMALL' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'ECONOMY' THEN 3 WHEN 'PROMO' THEN 4 WHEN 'STANDARD' THEN 5 END"
+
+
+def table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """A SQL function that returns a table, called for each row."""
+    tables.register_views(spark, sf, "region nation")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION driftgauge_nations(r BIGINT) RETURNS TABLE (k BIGINT, name STRING) RETURN SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = r")
+    return spark.sql("SELECT r_name, t.k, t.name FROM region, LATERAL driftgauge_nations(r_regionkey) t")
+
+
+def created_table(spark: SparkSession, sf: str) -> DataFrame:
+    """CREATE TABLE AS, and a view over it that hides rows."""
+    made = BucketedTable(_load(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey"), ["c_custkey"], 4)
+    made.read().where("c_nationkey < 10").createOrReplaceTempView("driftgauge_some_customers")
+    return spark.sql("SELECT c_nationkey, count(*) AS n FROM driftgauge_some_customers GROUP BY c_nationkey")
+
+
+def python_window(spark: SparkSession, sf: str) -> DataFrame:
+    """A window function in Python, over Arrow batches of a partition."""
+
+    @F.pandas_udf("double")
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    return _load(spark, sf, "supplier").select("s_suppkey", F.round(spread("s_acctbal").over(Window.partitionBy("s_nationkey")), 2).alias("d"))
+
+
+def foreign_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of another database, filtered there: the embedded one that comes with Spark, which lives in one JVM and so in local sessions."""
+    url = f"jdbc:derby:memory:driftgauge_{uuid.uuid4().hex[:12]};create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    _load(spark, sf, "nation").select("n_nationkey", "n_regionkey").write.format("jdbc").options(url=url, dbtable="nations", driver=driver).mode("append").save()
+    return read_jdbc(spark, url, "nations", driver=driver).where("n_regionkey = 2")
+
+
+def time_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample limited in time: whether it is part of the table, without a row twice."""
+    customers = _load(spark, sf, "customer")
+    drawn = samplers.system_time(customers, 1500.0, ["c_custkey"], 11)
+    met = drawn.select("c_custkey").join(customers.select("c_custkey"), "c_custkey", "left_anti")
+    return drawn.agg((F.count("*") == F.count_distinct("c_custkey")).alias("once"), (F.count("*") <= customers.count()).alias("within")).withColumn("part", F.lit(met.isEmpty()))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "bit_strings": (bit_strings, _BITS_SQL),
     "hash_functions": (hash_functions, _hash_sql()),
@@ -175,6 +286,19 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "partitionwise_join": (partitionwise_join, "SELECT o_orderkey, o_orderpriority, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
     "partitionwise_aggregate": (partitionwise_aggregate, "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_orderkey"),
     "custom_scan": (scan_provider, "SELECT range AS n, range * range AS square FROM range(100, 900) WHERE range % 3 = 0"),
+    "hypothetical_family": (hypothetical_family, "SELECT c_mktsegment, count(DISTINCT c_acctbal) FILTER (c_acctbal < 5000) + 1 AS dense_rank, round(count(*) FILTER (c_acctbal < 5000) / count(*), 9) AS percent_rank, round((count(*) FILTER (c_acctbal <= 5000) + 1) / (count(*) + 1), 9) AS cume_dist FROM customer GROUP BY c_mktsegment"),
+    "exclude_peers": (excluded_peers, f"SELECT p_partkey, CAST(sum(p_size) {_FRAME} GROUP) AS BIGINT) AS g, CAST(sum(p_size) {_FRAME} TIES) AS BIGINT) AS t FROM part"),
+    "xml_table": (xml_rows, "SELECT n_nationkey, CAST(range AS INTEGER) AS k, n_name || '-' || range AS v FROM nation, range(3)"),
+    "appended_index": (appended_index, "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS rank FROM part"),
+    "index_scans": (index_scans, "SELECT p_partkey, p_brand, 'and' AS kind FROM part WHERE p_size >= 10 AND p_size < 20 AND p_partkey >= 1 AND p_partkey < 200 UNION ALL SELECT p_partkey, p_brand, 'or' FROM part WHERE p_size >= 10 AND p_size < 20 OR p_partkey >= 1 AND p_partkey < 200"),
+    "materialize": (materialized_twice, "WITH t AS MATERIALIZED (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT * FROM t WHERE n = (SELECT max(n) FROM t)"),
+    "identity_column": (identity_column, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS id FROM orders"),
+    "interval_and_enum_aggregates": (interval_and_enum_aggregates, f"SELECT p_brand, sum(p_size) * 86400.0::DOUBLE AS s, round(avg(p_size) * 86400, 0) AS a, arg_min(p_type, {_ENUM}) AS lo, arg_max(p_type, {_ENUM}) AS hi FROM part GROUP BY p_brand"),
+    "table_function": (table_function, "SELECT r_name, n_nationkey AS k, n_name AS name FROM region JOIN nation ON n_regionkey = r_regionkey"),
+    "created_table": (created_table, "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_nationkey < 10 GROUP BY c_nationkey"),
+    "python_window": (python_window, "SELECT s_suppkey, round(max(s_acctbal) OVER w - min(s_acctbal) OVER w, 2) AS d FROM supplier WINDOW w AS (PARTITION BY s_nationkey)"),
+    "foreign_table": (foreign_table, "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 2"),
+    "time_sample": (time_sample, "SELECT true AS once, true AS within, true AS part"),
     "single_key_phase": (single_key, "SELECT count(*) AS n, true AS exact, true AS one_phase FROM part WHERE p_size = 20"),
 }
 

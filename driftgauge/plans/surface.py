@@ -80,6 +80,7 @@ SHARED: dict[str, str] = {
     "top_n": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "limit_offset": "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5 OFFSET 20",
     "nulls_order": "SELECT k FROM (SELECT nullif(n_regionkey, 1) AS k, n_nationkey AS i FROM nation) t ORDER BY k DESC NULLS LAST, i LIMIT 22",
+    "merge_append": "SELECT k, s FROM (SELECT c_custkey AS k, 'c' AS s FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier) t ORDER BY k, s LIMIT 60",
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect_ops": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
