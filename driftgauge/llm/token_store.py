@@ -49,6 +49,8 @@ class IdEncoder:
 
     #: Bytes of text that are encoded together.
     CALL_BYTES = 3 << 19
+    #: Pieces that the library encodes in one call.
+    CALL_PIECES = 4096
     _made: dict = {}
 
     def __init__(self, path: str):
@@ -60,7 +62,7 @@ class IdEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
-        self.table = units.PieceTable(lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        self.table = units.PieceTable(self._pieces)
 
     @classmethod
     def shared(cls, path: str) -> IdEncoder:
@@ -68,6 +70,11 @@ class IdEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _pieces(self, texts: list[str]) -> list[list[int]]:
+        # in parts, as the library's result holds far more than the ids
+        parts = (texts[i : i + self.CALL_PIECES] for i in range(0, len(texts), self.CALL_PIECES))
+        return [e.ids for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 

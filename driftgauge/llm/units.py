@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -93,20 +94,20 @@ class PieceTable:
     #: Bytes of text that are looked up together.
     BLOCK = 4 << 20
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 2_000_000, byte_limit: int = 48 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000, byte_limit: int = 24 << 20):
         self.encode, self.limit, self.byte_limit = encode, limit, byte_limit
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
         #: For each key: place and number of ids, place and number of bytes.
-        self.rows = np.empty((4, 0), np.int64)
+        self.rows = np.empty((4, 0), np.int32)
         self.tape, self.text = _Tape(np.uint32), _Tape(np.uint8)
 
     def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = self.encode([data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = self.tape.add(np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum())))
+        at = self.tape.add(np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())))
         return at + np.cumsum(size) - size, size
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ class PieceTable:
         known = np.zeros(len(unique), bool)
         if len(self.keys):
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
-        rows = np.empty((4, len(unique)), np.int64)
+        rows = np.empty((4, len(unique)), np.int32)
         rows[:, known] = self.rows[:, place[known]]
         new = np.flatnonzero(~known)
         if len(new):
@@ -135,7 +136,7 @@ class PieceTable:
             rows[0, new], rows[1, new] = self._encode(data, a, a + n)
             rows[2, new], rows[3, new] = self.text.add(data[_spans(a, n)]) + np.cumsum(n) - n, n
             self.keys, self.rows = np.insert(self.keys, place[new], unique[new]), np.insert(self.rows, place[new], rows[:, new], axis=1)
-        at, size, origin, long = rows[:, which]
+        at, size, origin, long = rows[:, which].astype(np.int64)
         same = long == lengths
         sure = np.flatnonzero(same)
         if len(sure):
