@@ -87,14 +87,14 @@ class PieceTable:
 
     A hash only finds a candidate: the bytes of every occurrence are compared
     with the candidate's, and a piece that shares its hash with another is
-    encoded on its own. The table is bounded in pieces and in bytes, and
-    starts anew when it is full.
+    encoded on its own. The table is bounded in pieces and in bytes; when it
+    is full, only pieces that have come back since the last time stay.
     """
 
     #: Bytes of text that are looked up together.
     BLOCK = 4 << 20
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000, byte_limit: int = 24 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000, byte_limit: int = 24 << 20):
         self.encode, self.limit, self.byte_limit = encode, limit, byte_limit
         self.clear()
 
@@ -102,8 +102,23 @@ class PieceTable:
         self.keys = np.empty(0, np.uint64)
         #: For each key: place and number of ids, place and number of bytes.
         self.rows = np.empty((4, 0), np.int32)
+        #: Whether a piece was met again.
+        self.again = np.empty(0, bool)
         self.tape, self.text = _Tape(np.uint32), _Tape(np.uint8)
 
+    def shrink(self) -> None:
+        """Keep what was met again, if that is not most of the table."""
+        keep, rows, tape, text = self.again, self.rows.astype(np.int64), self.tape, self.text
+        keys, many = self.keys[keep], int(keep.sum())
+        self.clear()
+        if not many or 2 * many > self.limit or 2 * int(rows[3, keep].sum()) > self.byte_limit:
+            return
+        rows = rows[:, keep]
+        self.tape.add(tape.values[_spans(rows[0], rows[1])])
+        self.text.add(text.values[_spans(rows[2], rows[3])])
+        rows[0], rows[2] = np.cumsum(rows[1]) - rows[1], np.cumsum(rows[3]) - rows[3]
+        self.keys, self.rows, self.again = keys, rows.astype(np.int32), np.zeros(many, bool)
+
     def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = self.encode([data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         size = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -121,7 +136,7 @@ class PieceTable:
 
     def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > self.limit or self.text.used > self.byte_limit:
-            self.clear()
+            self.shrink()
         lengths = ends - starts
         unique, first, which = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, unique)
@@ -130,12 +145,14 @@ class PieceTable:
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
         rows = np.empty((4, len(unique)), np.int32)
         rows[:, known] = self.rows[:, place[known]]
+        self.again[place[known]] = True
         new = np.flatnonzero(~known)
         if len(new):
             a, n = starts[first[new]], lengths[first[new]]
             rows[0, new], rows[1, new] = self._encode(data, a, a + n)
             rows[2, new], rows[3, new] = self.text.add(data[_spans(a, n)]) + np.cumsum(n) - n, n
             self.keys, self.rows = np.insert(self.keys, place[new], unique[new]), np.insert(self.rows, place[new], rows[:, new], axis=1)
+            self.again = np.insert(self.again, place[new], False)
         at, size, origin, long = rows[:, which].astype(np.int64)
         same = long == lengths
         sure = np.flatnonzero(same)

@@ -69,6 +69,16 @@ def test_pieces_of_one_hash_are_told_apart():
                 assert [g.tolist() for x in raw for g in encoder([x])] == order
 
 
+def test_full_table_keeps_what_comes_back():
+    calls = []
+    table_ = units.PieceTable(lambda ts: [calls.append(t) or ids_of(t) for t in ts], limit=40)
+    texts = [" ".join(["often", "again", *(f"once{i}x{j}" for j in range(9))]) for i in range(30)]
+    for t in texts:
+        assert [g.tolist() for g in units.encode_texts([t.encode()], table_, ids_of, [])] == [ids_of(t)]
+        assert len(table_.keys) <= 40 + 11
+    assert calls.count(" again") == 1 and calls.count("often") == 1 and len(calls) == 2 + 30 * 9
+
+
 def test_blocks_of_pieces(monkeypatch):
     monkeypatch.setattr(units.PieceTable, "BLOCK", 16)
     table_ = units.PieceTable(lambda ts: [ids_of(t) for t in ts], byte_limit=64)
