@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,7 +18,7 @@ from driftgauge.plans import tpch
 from driftgauge.plans.cursor import Cursor
 from driftgauge.sources.bucketed import BucketedTable
 from driftgauge.sources.custom import custom_scan, series_provider
-from driftgauge.sources.files import read_jdbc
+from driftgauge.sources.files import derby_archive, read_jdbc
 from driftgauge.store import write_once
 from driftgauge.streaming.online import OnlineAggregator
 
@@ -258,11 +257,9 @@ def python_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def foreign_table(spark: SparkSession, sf: str) -> DataFrame:
-    """A table of another database, filtered there: the embedded one that comes with Spark, which lives in one JVM and so in local sessions."""
-    url = f"jdbc:derby:memory:driftgauge_{uuid.uuid4().hex[:12]};create=true"
-    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    _load(spark, sf, "nation").select("n_nationkey", "n_regionkey").write.format("jdbc").options(url=url, dbtable="nations", driver=driver).mode("append").save()
-    return read_jdbc(spark, url, "nations", driver=driver).where("n_regionkey = 2")
+    """A table of another database, filtered there: the embedded one that comes with Spark, as an archive that every executor opens."""
+    url = derby_archive(_load(spark, sf, "nation").select("n_nationkey", "n_regionkey"), "nations")
+    return read_jdbc(spark, url, "nations", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").where("n_regionkey = 2")
 
 
 def time_sample(spark: SparkSession, sf: str) -> DataFrame:

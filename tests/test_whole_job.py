@@ -1,5 +1,9 @@
 """Places where a result was once less than the whole."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from engine_tables import SF
 from pyspark.sql import functions as F
@@ -83,3 +87,31 @@ def test_casts_round_every_order(spark):
     prices = {r.o_orderkey: r.o_totalprice for r in tables.load(spark, SF, "orders").collect()}
     found = {r.o_orderkey: r.i for r in surface.queries()["sql_fn_casts"](spark, SF).collect()}
     assert found == {k: round(p) for k, p in prices.items()}
+
+
+_CLUSTER = """
+import atexit, sys
+from pyspark.sql import SparkSession
+from driftgauge.plans import extras
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.checkpoint.dir", "file://" + sys.argv[1]).config("spark.executor.memory", "512m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+atexit.register(spark.stop)
+found = extras.queries()["gap_foreign_table"](spark, sys.argv[2])
+rows = sorted(map(tuple, found.collect()))
+from driftgauge.sources.files import derby_archive, read_jdbc
+odd = read_jdbc(spark, derby_archive(spark.range(2500).selectExpr("id", "nullif(cast(id as int), 7) as k", "id / 2 as x"), "odd"), "odd")
+twelve = odd
+for _ in range(11):
+    twelve = twelve.union(odd)
+print("found", rows, found.dtypes, (twelve.count(), odd.where("k is null").first().asDict(), odd.where("x > 1249").count()))
+"""
+
+
+def test_foreign_table_is_read_by_every_executor(spark, tmp_path):
+    """The other database once lived in the driver's JVM, and executors did not see its table."""
+    here = {**os.environ, "PYTHONPATH": os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])}
+    run = subprocess.run([sys.executable, "-c", _CLUSTER, f"{tmp_path}/a folder", SF], env=here, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    nations = tables.load(spark, SF, "nation").where("n_regionkey = 2").select("n_nationkey", "n_regionkey")
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert run.stdout.splitlines()[-1].split("found ")[-1] == f"{sorted(map(tuple, nations.collect()))} {nations.dtypes} {(30_000, {'id': 7, 'k': None, 'x': 3.5}, 1)}"
+    assert not list((tmp_path / "a folder").rglob("*.jar"))  # gone with the driver
