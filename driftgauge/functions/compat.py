@@ -196,6 +196,20 @@ def justify_interval(interval: Column) -> Column:
     return justify_days(justify_hours(interval))
 
 
+def sum_interval_days(interval: Column) -> Column:
+    """Length of a group's intervals together, in days, a month as 30 of them.
+
+    Months, days and microseconds are summed apart, so that the sum may be longer than any interval.
+    """
+    months, days, micros = (F.sum(interval[c].cast("decimal(20,0)")).cast("double") for c in ("months", "days", "micros"))
+    return months * 30 + days + micros / 86_400_000_000
+
+
+def avg_interval_days(interval: Column) -> Column:
+    """Mean length of a group's intervals in days, not rounded to a microsecond."""
+    return sum_interval_days(interval) / F.count(interval["days"])
+
+
 def age(later: Column, earlier: Column) -> Column:
     """Whole months and remaining days between two dates, as a text of years, months and days."""
     months = F.floor(F.months_between(later, earlier, False)).cast("int")

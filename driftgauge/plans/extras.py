@@ -222,11 +222,11 @@ def identity_column(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def interval_and_enum_aggregates(spark: SparkSession, sf: str) -> DataFrame:
-    days = F.make_dt_interval(F.col("p_size"))
-    seconds = lambda i: (F.extract(F.lit("DAY"), i) * 86400 + F.extract(F.lit("HOUR"), i) * 3600 + F.extract(F.lit("MINUTE"), i) * 60 + F.extract(F.lit("SECOND"), i)).cast("double")
+    days = compat.make_interval(F.lit(0), F.col("p_size"), F.lit(0))
     order = ["SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO", "STANDARD"]
     place = values.enum_place(F.col("p_type"), order)
-    return _load(spark, sf, "part").groupBy("p_brand").agg(F.round(seconds(F.sum(days)), 2).alias("s"), F.round(seconds(F.avg(days)), 0).alias("a"), F.min_by("p_type", place).alias("lo"), F.max_by("p_type", place).alias("hi"))
+    total, mean = F.round(compat.sum_interval_days(days) * 86400, 2), F.round(compat.avg_interval_days(days) * 86400, 0)
+    return _load(spark, sf, "part").groupBy("p_brand").agg(total.alias("s"), mean.alias("a"), F.min_by("p_type", place).alias("lo"), F.max_by("p_type", place).alias("hi"))
 
 
 _ENUM = "CASE p_type WHEN 'SMALL' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'ECONOMY' THEN 3 WHEN 'PROMO' THEN 4 WHEN 'STANDARD' THEN 5 END"

@@ -12,7 +12,7 @@ from driftgauge import tables
 from driftgauge.functions import compat
 from driftgauge.operators.estimators import approx_count, approx_sum
 from driftgauge.operators.rank_index import build_rank_index
-from driftgauge.plans import surface, tpch
+from driftgauge.plans import extras, surface, tpch
 from driftgauge.plans.sqlfront import AqpSession
 from driftgauge.streaming.online import OnlineAggregator
 
@@ -115,3 +115,24 @@ def test_foreign_table_is_read_by_every_executor(spark, tmp_path):
     assert run.returncode == 0, run.stderr[-3000:]
     assert run.stdout.splitlines()[-1].split("found ")[-1] == f"{sorted(map(tuple, nations.collect()))} {nations.dtypes} {(30_000, {'id': 7, 'k': None, 'x': 3.5}, 1)}"
     assert not list((tmp_path / "a folder").rglob("*.jar"))  # gone with the driver
+
+
+def test_interval_aggregates_of_large_groups(spark, duck, tmp_path):
+    """Sums of more days than an int holds as seconds, or an interval as days; a mean that SQL rounds down; null sizes and no label."""
+    sizes = "CASE b WHEN 0 THEN 50 WHEN 1 THEN 2000000000 - id WHEN 2 THEN if(id < 7, 2, 1) WHEN 3 THEN if(id % 3 = 0, NULL, -id) END"
+    part = spark.range(1280).selectExpr("id", "explode(sequence(0, 4)) AS b").selectExpr("concat('Brand#', b) AS p_brand", f"cast({sizes} AS int) AS p_size", "if(b = 3, 'none', element_at(array('PROMO', 'LARGE', 'other'), cast(id % 3 AS int) + 1)) AS p_type")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    own = duck.cursor()
+    own.sql(f"CREATE TEMP VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    expected = own.sql(extras.oracle_sql()["gap_interval_and_enum_aggregates"])
+    found = extras.queries()["gap_interval_and_enum_aggregates"](spark, str(tmp_path)).orderBy("p_brand")
+    rows = [tuple(r) for r in found.collect()]
+    assert found.columns == expected.columns and rows == sorted(expected.fetchall())
+    assert rows[0][1] == 1280 * 50 * 86400 and rows[1][1] == (1280 * 2_000_000_000 - 1279 * 640) * 86400 and rows[2][2] == 86872 and rows[4][1:3] == (None, None)
+
+
+def test_interval_lengths_add_up(spark):
+    rows = spark.createDataFrame([(1, 40, -3_600_000_000), (0, None, 0), (2, -1, 1)], "m int, d int, u long")
+    interval = compat.make_interval(F.col("m"), F.col("d"), F.col("u"))
+    total, mean = rows.where("d is not null").agg(compat.sum_interval_days(interval), compat.avg_interval_days(interval)).first()
+    assert total == pytest.approx(129 - 1 / 24, abs=1e-9) and mean == total / 2
